@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
-from . import divergence_rules
+from . import bpe_transducer, divergence_rules, entropy_secrets, reply_trees
 from .common import table
 
 
+def op2_bpe_transducer(spark, sf_dir):
+    import public_tokenizers
+
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe_transducer.encode_decode(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN, ["doc_id"])
+
+
 def op3_divergence_rules(spark, sf_dir):
     x = divergence_rules.judge(table(spark, sf_dir, "documents"))
     return x.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op3_divergence_rules,)}
+def op4_reply_trees(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return reply_trees.digest(reply_trees.format_conversations(rows.unionByName(reply_trees.probe(spark))))
+
+
+def op8_entropy_secrets(spark, sf_dir):
+    return entropy_secrets.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_bpe_transducer, op3_divergence_rules, op4_reply_trees, op8_entropy_secrets)}
 ORACLES: dict[str, str] = {}
