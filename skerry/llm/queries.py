@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe_transducer, divergence_rules, entropy_secrets, reply_trees
+from . import bpe_transducer, compression_quality, divergence_rules, entropy_secrets, reply_trees
 from .common import table
 
 
+def op1_compression_quality(spark, sf_dir):
+    return compression_quality.held_out_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_bpe_transducer(spark, sf_dir):
     import public_tokenizers
 
@@ -27,5 +31,5 @@ def op8_entropy_secrets(spark, sf_dir):
     return entropy_secrets.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_transducer, op3_divergence_rules, op4_reply_trees, op8_entropy_secrets)}
+QUERIES = {f.__name__: f for f in (op1_compression_quality, op2_bpe_transducer, op3_divergence_rules, op4_reply_trees, op8_entropy_secrets)}
 ORACLES: dict[str, str] = {}
