@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_transducer, compression_quality, divergence_rules, entropy_secrets, pitman_yor, reply_trees
+from . import bpe_transducer, cap_filters, compression_quality, divergence_rules, entropy_secrets, pitman_yor, reply_trees
 from .common import table
 
 
@@ -31,9 +31,13 @@ def op8_entropy_secrets(spark, sf_dir):
     return entropy_secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_cap_filters(spark, sf_dir):
+    return cap_filters.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_pitman_yor(spark, sf_dir):
     return pitman_yor.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_compression_quality, op2_bpe_transducer, op3_divergence_rules, op4_reply_trees, op8_entropy_secrets, op10_pitman_yor)}
+QUERIES = {f.__name__: f for f in (op1_compression_quality, op2_bpe_transducer, op3_divergence_rules, op4_reply_trees, op8_entropy_secrets, op9_cap_filters, op10_pitman_yor)}
 ORACLES: dict[str, str] = {}
