@@ -229,7 +229,8 @@ def _digest(tokenizer: Tokenizer, text: str | None):
 
 
 def _ids(tokenizer: Tokenizer, text: str | None):
-    return (tokenizer.encode(text or ""),)
+    ids = tokenizer.encode(text or "")
+    return ids, len(ids), tokenizer.decode(ids) == (text or "")
 
 
 def read_vocabulary(path: str) -> bytes:
@@ -237,10 +238,14 @@ def read_vocabulary(path: str) -> bytes:
         return file.read()
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """The rows with an array of token ids. The vocabulary file (some hundred KB, of fixed size) is read by the driver and broadcast."""
+def encode(docs: DataFrame, vocabulary: str, pattern: str, keep: list[str], text: str = "text") -> DataFrame:
+    """Columns `keep` with ids, n_tokens, and round_trip: whether the ids decode to the text again.
+
+    The vocabulary file (some hundred KB, of fixed size) is read by the driver and broadcast.
+    """
     data = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
-    return map_rows(docs, docs.columns, [text], _worker(data, pattern, _ids), [(out, T.ArrayType(T.IntegerType()))])
+    out = [("ids", T.ArrayType(T.IntegerType())), ("n_tokens", T.LongType()), ("round_trip", T.BooleanType())]
+    return map_rows(docs, keep, [text], _worker(data, pattern, _ids), out)
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, keep: list[str], text: str = "text") -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cells import BLOCK, FOUND, classes_linked, count_links, groups, into_cells, lists, shared_before
-from .common import Scratch
+from .common import Scratch, small
 
 WORDS, LEAST = 5, 0.8
 RUNS, BRANCHES, DEPTH, SMALL, VALUES = 6, 2, 3, 256, 32
@@ -196,3 +196,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     out = some.join(told, ["high", "low"]).select("doc_id", F.col("component_id").alias("class_id"), "n_links")
     alone = seen.where("size = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return out.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)))
+
+
+def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, of which one row of each component stays: that of the smallest id (nulls last).
+
+    Rows are numbered in a written copy, so repeated and null ids do no harm. The numbers of the rows that go are
+    broadcast if they are few enough (counted first), else joined.
+    """
+    scratch = Scratch(docs.sparkSession)
+    rows, _ = scratch.cut(docs.select(F.struct("*").alias("row")).withColumn("at", F.monotonically_increasing_id()))
+    found = near_duplicates(rows.select("at", F.col("row").getField(text).alias("text")), "at", "text").select(F.col("doc_id").alias("at"), "class_id")
+    groups_ = found.join(found.where("at <> class_id").select("class_id").distinct(), "class_id")  # rows alone in their class stay
+    key = F.struct(F.col("id").isNull().alias("none"), "id", "at")
+    named = groups_.join(rows.select("at", F.col("row").getField(doc_id).alias("id")), "at")
+    first = named.groupBy("class_id").agg(F.min(key).alias("first")).select("class_id", F.col("first.at").alias("first"))
+    gone, _ = scratch.cut(named.join(first, "class_id").where("at <> first").select("at"))
+    return rows.join(small(gone, 500_000), "at", "left_anti").select("row.*")

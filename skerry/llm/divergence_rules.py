@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, let
+from .common import WORD, Scratch, let, small
 
 #: Character classes by Java pattern; the last class is all that is left.
 CLASSES = (r"\p{Ll}", r"\p{Lu}", r"[\p{L}\p{M}&&[^\p{Lu}\p{Ll}]]", r"\p{Nd}", r"[.,]", r"[#*$%&|<>]", r"[!?:;'\"()\-]")
@@ -116,11 +116,6 @@ def common_words(docs: DataFrame, n_words: int = N_WORDS, min_docs: int = MIN_DO
     return ranked.select("lang", F.transform("a", lambda x: x.word).alias("common"))
 
 
-def small(df: DataFrame, bound: int = 4096) -> DataFrame:
-    """Mark for broadcast after counting: only a table of at most `bound` short rows is broadcast, a larger one is joined as it comes."""
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
-
-
 def features(docs: DataFrame, scratch: Scratch, n_words: int = N_WORDS, min_docs: int = MIN_DOCS) -> DataFrame:
     """Base measures and histograms of each document; no text leaves this step."""
     source = docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))

@@ -42,7 +42,7 @@ U1, U2 = 64, 64 * 64
 #: Discount and strength by level: root, u1, u2.
 DISCOUNT, STRENGTH = (0.55, 0.75, 0.85), (5.0, 20.0, 20.0)
 BURN, AVERAGED, SEED = 2, 2, 20
-BLOCK_CHARS, PART_TOKENS = 6_000_000, 3_000_000
+BLOCK_CHARS, PART_CHARS = 4_000_000, 6_000_000
 END = xxhash.xxh3_64_intdigest(b"")  # no word is empty
 EXACT_SEATS = 64
 #: Numbers that describe all restaurants (see Part.totals), and the rows in which their sums reach the driver.
@@ -343,7 +343,7 @@ def score(docs: DataFrame, held_out_fold: int = 1, of: int = 5) -> DataFrame:
     spark = docs.sparkSession
     scratch, context = Scratch(spark), spark.sparkContext
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chars // (6 * PART_TOKENS), 1)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chars // PART_CHARS, 1)
     rows = docs.select(F.col("doc_id").cast("long"), fold("doc_id", of) != held_out_fold, "text")
     blocks, _ = scratch.cut(rows.mapInArrow(_blocks(parts), _PACKED))
     shares = blocks.where("part >= 0")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_transducer, cap_filters, chosen_path, compression_quality, divergence_rules, entropy_secrets, pitman_yor, reply_trees
+from . import bpe_transducer, budget_mix, cap_filters, chosen_path, compression_quality, divergence_rules, entropy_secrets, html_mincut, pitman_yor, reply_trees
 from .common import table
 
 
@@ -27,6 +27,15 @@ def op4_reply_trees(spark, sf_dir):
     return reply_trees.digest(reply_trees.format_conversations(rows.unionByName(reply_trees.probe(spark))))
 
 
+def op5_html_mincut(spark, sf_dir):
+    return html_mincut.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
+def op6_budget_mix(spark, sf_dir):
+    x = budget_mix.mix_documents(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
+    return x.select("row.doc_id", "domain", "lang", "source", "n_tokens", "epochs")
+
+
 def op7_chosen_path(spark, sf_dir):
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -43,5 +52,19 @@ def op10_pitman_yor(spark, sf_dir):
     return pitman_yor.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_compression_quality, op2_bpe_transducer, op3_divergence_rules, op4_reply_trees, op7_chosen_path, op8_entropy_secrets, op9_cap_filters, op10_pitman_yor)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_compression_quality,
+        op2_bpe_transducer,
+        op3_divergence_rules,
+        op4_reply_trees,
+        op5_html_mincut,
+        op6_budget_mix,
+        op7_chosen_path,
+        op8_entropy_secrets,
+        op9_cap_filters,
+        op10_pitman_yor,
+    )
+}
 ORACLES: dict[str, str] = {}
