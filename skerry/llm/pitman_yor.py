@@ -42,7 +42,7 @@ U1, U2 = 64, 64 * 64
 #: Discount and strength by level: root, u1, u2.
 DISCOUNT, STRENGTH = (0.55, 0.75, 0.85), (5.0, 20.0, 20.0)
 BURN, AVERAGED, SEED = 2, 2, 20
-BLOCK_CHARS, PART_CHARS = 4_000_000, 6_000_000
+BLOCK_CHARS, PART_CHARS = 2_000_000, 8_000_000
 END = xxhash.xxh3_64_intdigest(b"")  # no word is empty
 EXACT_SEATS = 64
 #: Numbers that describe all restaurants (see Part.totals), and the rows in which their sums reach the driver.
