@@ -1 +1 @@
-"""Part of the engine."""
+"""Readers and writers: PLY, npy and npz, poses, times, matches, layouts, meshes."""
