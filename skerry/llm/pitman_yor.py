@@ -42,7 +42,7 @@ U1, U2 = 64, 64 * 64
 #: Discount and strength by level: root, u1, u2.
 DISCOUNT, STRENGTH = (0.55, 0.75, 0.85), (5.0, 20.0, 20.0)
 BURN, AVERAGED, SEED = 2, 2, 20
-BLOCK_CHARS, PART_CHARS = 2_000_000, 8_000_000
+BLOCK_CHARS, PART_CHARS = 4_000_000, 8_000_000
 END = xxhash.xxh3_64_intdigest(b"")  # no word is empty
 EXACT_SEATS = 64
 #: Numbers that describe all restaurants (see Part.totals), and the rows in which their sums reach the driver.
@@ -92,6 +92,7 @@ def block_rows(block: int, rows: list[tuple[int | None, bool, str | None]], part
     vocabulary.default_factory = vocabulary.__len__
     vocabulary[b""]  # the end token is word 0
     ids = [np.array([*map(vocabulary.__getitem__, words_of(text)), 0], np.int32) for _, _, text in rows]
+    vocabulary.default_factory = None  # else dict and method hold each other until a full garbage collection
     names = list(vocabulary)
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))
     classes = np.fromiter(map(context_class, names), np.int64, len(names))
