@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cells import FOUND, classes_linked, count_links, groups, into_cells, lists, shared_before
+from .cells import FOUND, classes_linked, count_links, groups, in_buckets, into_cells, lists, shared_before
 from .common import Scratch
 
 CODES, TAKEN, BUCKET, SEED = 4, 6, 64, 9
@@ -78,14 +78,14 @@ def _filters(width: int):
                     found.append(decode(x, made[r, dim], width) + (dim * CODES + r) * width * width)
                 for row, f in zip(rows.tolist(), np.concatenate(found, axis=1), strict=True):
                     filters[row] = f
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("m"), batch.column("v"), pa.array(filters, pa.list_(pa.int64()))], ["rep", "m", "v", "filters"])
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(filters, pa.list_(pa.int64()))], ["rep", "filters"])
 
     return run
 
 
 def _verify(least: float):
     def run(batches):
-        for t in groups(batches, ["filter", "i", "j"]):
+        for t in groups(batches, ["key", "i", "j"]):
             if t.num_rows < 2:
                 continue
             values, lengths = lists(t, "v")
@@ -102,7 +102,7 @@ def _verify(least: float):
                 continue
             some = np.flatnonzero(linked.any(1))
             t, linked = t.take(some), linked[np.ix_(some, some)]
-            counted = linked & ~shared_before(*lists(t, "filters"), t.column("filter")[0].as_py())
+            counted = linked & ~shared_before(*lists(t, "keys"), t.column("key")[0].as_py())
             out = count_links(linked, counted, t.column("rep").to_numpy(), t.column("m").to_numpy())
             if out is not None:
                 yield out
@@ -122,9 +122,10 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     classes, _ = scratch.cut(classes.withColumn("rep", F.monotonically_increasing_id()))
     n = classes.count()
     width = max(16, math.ceil(math.sqrt(n * TAKEN / BUCKET)))
-    coded = classes.select("rep", "m", "v").mapInArrow(_filters(width), "rep long, m long, v array<double>, filters array<long>")
-    spread = coded.select("rep", "m", "v", "filters", F.explode("filters").alias("filter"))
-    found, _ = scratch.cut(into_cells(spread, "filter", "rep").mapInArrow(_verify(least), FOUND))
+    coded = classes.select("rep", "v").mapInArrow(_filters(width), "rep long, filters array<long>")
+    members, _ = scratch.cut(coded.select(F.explode("filters").alias("key"), "rep"))
+    dealt = into_cells(classes.select("rep", "m", "v").join(in_buckets(members), "rep"))
+    found, _ = scratch.cut(dealt.mapInArrow(_verify(least), FOUND))
     told, _ = scratch.cut(classes_linked(scratch, classes.select("rep", "least", "m"), found))
     linked = good.join(classes.select("v", "rep"), "v").join(told, "rep").select("vec_id", "n_links", "component_id")
     alone = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

@@ -15,18 +15,26 @@ from .common import Scratch, components
 BLOCK = 1024
 
 
-def into_cells(rows: DataFrame, key: str, by: str, block: int = BLOCK) -> DataFrame:
-    """Rows of buckets with two rows or more, dealt into cells (key, i, j) of two blocks at most, sorted by cell.
+def in_buckets(members: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(rep, buckets): of members (key, rep), for each rep the keys it shares with another, each with the number of blocks
+    its bucket is cut into. Only ids move here; what is to be compared is dealt once, by `into_cells`."""
+    n = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    return members.join(n, "key").groupBy("rep").agg(F.collect_list(F.struct("key", "blocks")).alias("buckets"))
 
-    A bucket of n rows is cut into ceil(n / block) blocks by a hash of `by`; each pair of blocks is a cell and each row
-    goes to the cells of its block, with the block's number in `side`. So any two rows of a bucket meet in a cell, just
-    once if their blocks differ, and no task gets a bucket that is large.
+
+def into_cells(rows: DataFrame) -> DataFrame:
+    """Rows with rep and `buckets` dealt into cells (key, i, j) of two blocks at most, sorted by cell.
+
+    A bucket of n rows is cut into ceil(n / block) blocks by a hash of rep; each pair of blocks is a cell and each row goes
+    to the cells of its block, with the block's number in `side`. So any two rows of a bucket meet in a cell, just once if
+    their blocks differ, and no task gets a bucket that is large.
     """
-    n = rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key, F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    x = rows.join(n, key).withColumn("side", F.pmod(F.xxhash64(by), F.col("blocks")).cast("int"))
+    x = rows.withColumn("keys", F.transform("buckets", lambda b: b.key)).withColumn("b", F.explode("buckets")).drop("buckets")
+    x = x.withColumn("key", F.col("b.key")).withColumn("blocks", F.col("b.blocks")).drop("b")
+    x = x.withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     x = x.withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other")).drop("other", "blocks")
-    return x.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
+    return x.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

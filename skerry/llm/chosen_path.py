@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cells import BLOCK, FOUND, classes_linked, count_links, groups, into_cells, lists, shared_before
+from .cells import FOUND, classes_linked, count_links, groups, in_buckets, into_cells, lists, shared_before
 from .common import Scratch, small
 
 WORDS, LEAST = 5, 0.8
@@ -103,7 +103,7 @@ def _sets(batches):
             found = [shingles(text, hashes) for text in piece.column("text").to_pylist()]
             same = [digest(s) == k for s, k in zip(found, zip(piece.column("high").to_pylist(), piece.column("low").to_pylist(), strict=True), strict=True)]
             sets = pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([piece.column("rep"), piece.column("m"), sets], ["rep", "m", "set"]).filter(pa.array(same))
+            yield pa.RecordBatch.from_arrays([piece.column("rep"), piece.column("m"), piece.column("buckets"), sets], ["rep", "m", "buckets", "set"]).filter(pa.array(same))
 
 
 def buckets(scratch: Scratch, classes: DataFrame) -> DataFrame:
@@ -134,6 +134,9 @@ def buckets(scratch: Scratch, classes: DataFrame) -> DataFrame:
 
 def _compare(batches):
     for t in groups(batches, ["key", "i", "j"]):
+        one_each = np.unique(t.column("rep").to_numpy(), return_index=True)[1]
+        if len(one_each) < t.num_rows:  # rows that repeat id and text
+            t = t.take(one_each)
         if t.num_rows < 2:
             continue
         values, sizes = lists(t, "set")
@@ -185,12 +188,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     classes = some.groupBy("high", "low").agg(F.min("doc_id").alias("least"), F.count("*").alias("m"), F.any_value("size").alias("size"), F.any_value("values").alias("values"))
     classes, _ = scratch.cut(classes.withColumn("rep", F.monotonically_increasing_id()))
     cells, _ = scratch.cut(buckets(scratch, classes))
-    keys = cells.groupBy("rep").agg(F.collect_list("key").alias("keys"))  # a class is in RUNS * BRANCHES^DEPTH buckets at most
-    wanted = keys.join(classes, "rep").where("least is not null").select("rep", "m", F.col("least").alias("doc_id"), "high", "low")
-    held = rows.join(wanted, "doc_id").select("rep", "m", "high", "low", "text").mapInArrow(_sets, "rep long, m long, set array<long>")
-    held = held.groupBy("rep").agg(F.any_value("m").alias("m"), F.any_value("set").alias("set")).join(keys, "rep")
-    dealt = into_cells(held.withColumn("key", F.explode("keys")), "key", "rep", BLOCK)
-    found, _ = scratch.cut(dealt.mapInArrow(_compare, FOUND))
+    wanted = classes.select("rep", "m", F.col("least").alias("doc_id"), "high", "low").where("doc_id is not null").join(in_buckets(cells), "rep")
+    wanted, _ = scratch.cut(wanted)  # a class is in RUNS * BRANCHES^DEPTH buckets at most
+    held = rows.join(small(wanted, 200_000), "doc_id").select("rep", "m", "high", "low", "buckets", "text")
+    held = held.mapInArrow(_sets, "rep long, m long, buckets array<struct<key:bigint,blocks:int>>, set array<long>")
+    found, _ = scratch.cut(into_cells(held).mapInArrow(_compare, FOUND))
     told = classes_linked(scratch, classes.select("rep", "least", "m"), found)
     told = told.join(classes.select("rep", "high", "low"), "rep").select("high", "low", "n_links", "component_id")
     out = some.join(told, ["high", "low"]).select("doc_id", F.col("component_id").alias("class_id"), "n_links")
@@ -201,12 +203,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, of which one row of each component stays: that of the smallest id (nulls last).
 
-    Rows are numbered in a written copy, so repeated and null ids do no harm. The numbers of the rows that go are
-    broadcast if they are few enough (counted first), else joined.
+    Where an id is null or repeated, rows are numbered in a written copy, so each is told from the others. The numbers of
+    the rows that go are broadcast if they are few enough (counted first), else joined.
     """
     scratch = Scratch(docs.sparkSession)
-    rows, _ = scratch.cut(docs.select(F.struct("*").alias("row")).withColumn("at", F.monotonically_increasing_id()))
-    found = near_duplicates(rows.select("at", F.col("row").getField(text).alias("text")), "at", "text").select(F.col("doc_id").alias("at"), "class_id")
+    rows = docs.select(F.col(doc_id).cast("long").alias("at"), F.struct("*").alias("row"))
+    repeated = rows.groupBy("at").agg(F.count("*").alias("n")).where("n > 1 or at is null").limit(1).count()
+    if repeated:
+        rows, _ = scratch.cut(docs.select(F.monotonically_increasing_id().alias("at"), F.struct("*").alias("row")))
+    found, _ = scratch.cut(near_duplicates(rows.select("at", F.col("row").getField(text).alias("text")), "at", "text").select(F.col("doc_id").alias("at"), "class_id"))
     groups_ = found.join(found.where("at <> class_id").select("class_id").distinct(), "class_id")  # rows alone in their class stay
     key = F.struct(F.col("id").isNull().alias("none"), "id", "at")
     named = groups_.join(rows.select("at", F.col("row").getField(doc_id).alias("id")), "at")
