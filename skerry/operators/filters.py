@@ -81,7 +81,7 @@ def plane_noise(points: DataFrame, radius: float, relative: float, drop_isolated
     """Points whose distance from the plane of their neighbours is at most `relative` times the spread of their own."""
     from .fitting import neighbour_planes
 
-    fitted = neighbour_planes(points, radius)
+    fitted = neighbour_planes(points, radius).select("pid", "n", "offset", "rms")
     out = points.join(fitted, "pid", "left")
     lonely = F.col("n").isNull() | (F.col("n") < 3)
     return out.where(F.when(lonely, F.lit(not drop_isolated)).otherwise(F.abs("offset") <= relative * F.col("rms") + 1e-12)).select(*points.columns)
