@@ -4,8 +4,8 @@ A text is the set of its five-word shingles, each a 64-bit hash. Equal sets form
 values, of which two sets share each with probability equal to their Jaccard similarity, so a value stands for a sampled
 shared token. A run starts with one value and puts sets with the same one in a bucket. Buckets of up to `SMALL` sets
 are compared by brute force; larger ones are split further, each along `BRANCHES` sampled values which the path so far
-chooses, down to `DEPTH` splits, and what is still large then (sets that are alike, or nearly so) is compared in cells of
-bounded size. `RUNS` runs with independent first values repeat this. Two sets of similarity s meet in a run with
+chooses, down to `DEPTH` splits. A large bucket whose sets are alike (a mean similarity of `ALIKE`, told by how its split
+falls) would not get smaller; it, and what is still large at the end, is compared by brute force in cells of bounded size. `RUNS` runs with independent first values repeat this. Two sets of similarity s meet in a run with
 probability of about s at the first split and s*(1-(1-s)^2) and so on below, at least 0.74 for s = 0.8; six runs miss
 such a pair in under 1 of 3,000 cases, and closer pairs far less often. Buckets with the very same sets are compared once.
 
@@ -30,7 +30,7 @@ from .cells import FOUND, classes_linked, count_links, groups, in_buckets, into_
 from .common import Scratch, small
 
 WORDS, LEAST = 5, 0.8
-RUNS, BRANCHES, DEPTH, SMALL, VALUES = 6, 2, 3, 256, 32
+RUNS, BRANCHES, DEPTH, SMALL, VALUES, ALIKE = 6, 2, 3, 256, 32, 0.5
 _RNG = np.random.default_rng(7)
 _MULTIPLY = _RNG.integers(1, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, VALUES, dtype=np.uint64)
@@ -114,16 +114,22 @@ def buckets(scratch: Scratch, classes: DataFrame) -> DataFrame:
     for depth in range(DEPTH + 1):
         n = now.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who")).where("n > 1")
         n, _ = scratch.cut(n)
-        small = n.where(F.col("n") <= (SMALL if depth < DEPTH else F.lit(1 << 62)))
-        done.append(now.join(small, "key").select("key", "rep", "n", "who"))
-        large = n.where(F.col("n") > SMALL).select("key")
+        large = n.where(F.col("n") > SMALL)
         if depth == DEPTH or large.limit(1).count() == 0:
+            done.append(now.join(n, "key").select("key", "rep", "n", "who"))
             break
-        going = now.join(large, "key").join(classes.select("rep", "values"), "rep")
+        going = now.join(large.select("key", "n"), "key").join(classes.select("rep", "values"), "rep")
         going = going.withColumn("branch", F.explode(F.sequence(F.lit(0), F.lit(BRANCHES - 1))))
         pick = F.pmod(F.xxhash64("key", "branch"), F.lit(VALUES - RUNS)) + RUNS
-        going = going.select("rep", F.xxhash64("key", "branch", F.get("values", pick.cast("int"))).alias("key"))
-        now, _ = scratch.cut(going)
+        child = F.xxhash64("key", "branch", F.get("values", pick.cast("int")))
+        kids, _ = scratch.cut(going.select("rep", F.col("key").alias("parent"), F.col("n").alias("of"), child.alias("key")))
+        # two members share a child with the probability of their similarity, so this is the mean similarity of a bucket
+        size = kids.groupBy("parent", "of", "key").agg(F.count("*").cast("double").alias("c"))
+        mean = size.groupBy("parent", "of").agg((F.sum(F.col("c") * F.col("c"))).alias("s")).where(F.col("s") >= ALIKE * BRANCHES * F.col("of") * F.col("of"))
+        alike, _ = scratch.cut(mean.select("parent"))
+        ready = n.where(F.col("n") <= SMALL).unionByName(n.join(alike.withColumnRenamed("parent", "key"), "key", "left_semi"))
+        done.append(now.join(ready, "key").select("key", "rep", "n", "who"))
+        now, _ = scratch.cut(kids.join(alike, "parent", "left_anti").select("rep", "key"))
     found = done[0]
     for more in done[1:]:
         found = found.union(more)
