@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from .texts import map_rows
 
 #: Entries kept of pieces and of moves before they are dropped and found anew; this bounds memory, not results.
-KEPT_PIECES, KEPT_MOVES = 400_000, 600_000
+KEPT_PIECES, KEPT_MOVES = 240_000, 400_000
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -47,6 +47,17 @@ def merge_bytes(data: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts]
 
 
+def last_merge(data: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """The two pieces whose merge makes a token."""
+    parts = [data[i : i + 1] for i in range(len(data))]
+    while len(parts) > 2:
+        best, at = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+        if best == 1 << 60:
+            break
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return parts
+
+
 class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
@@ -65,26 +76,46 @@ class Transducer:
                     n += 1
                 node = self.go[key]
             self.ends[node] = rank
-        self.fits_cache: dict[tuple[int, int], bool] = {}
+        self.spines: tuple[dict, dict] = ({}, {})
         self._reset()
 
     def _reset(self) -> None:
         start = (((), -1, 0),)
-        self.states, self.index, self.moves, self.n_moves = [start], {start: 0}, [{}], 0
-        self.finals: list[tuple[int, ...]] = [()]
+        self.states, self.index = [start], {start: 0}
+        self.moves: dict[int, int] = {}  # state * 256 + byte -> state, or its complement if output is written
+        self.written: dict[int, tuple[int, ...]] = {}
+        self.finals: dict[int, tuple[int, ...]] = {}  # output still to be written where a text may end, if any
+
+    def _spine(self, token: int, last: bool) -> list[tuple[bytes, int, int]]:
+        """The pieces that stand at one end of a token while it is merged, from the whole down to a byte: the piece, and the
+        ranks at which it comes to be and is merged away."""
+        found = self.spines[last].get(token)
+        if found is None:
+            found, piece, until = [], self.bytes_of[token], 1 << 60
+            while True:
+                since = self.ranks[piece] if len(piece) > 1 else -1
+                found.append((piece, since, until))
+                if len(piece) == 1:
+                    break
+                piece, until = last_merge(piece, self.ranks)[-1 if last else 0], since
+            self.spines[last][token] = found
+        return found
 
     def fits(self, left: int, right: int) -> bool:
+        """Whether no merge crosses the border of two neighbouring tokens: pieces at the border cross if they stand there at
+        the same time and their own merge comes before what takes either away (of equal ranks the left one comes first)."""
         if left < 0:
             return True
-        key = (left, right)
-        found = self.fits_cache.get(key)
-        if found is None:
-            if len(self.fits_cache) >= KEPT_MOVES:
-                self.fits_cache.clear()
-            found = self.fits_cache[key] = merge_bytes(self.bytes_of[left] + self.bytes_of[right], self.ranks) == [left, right]
-        return found
-
-    def _move(self, state: int, b: int) -> tuple[int, tuple[int, ...]]:
+        rank = self.ranks.get
+        for a, since_a, until_a in self._spine(left, True):
+            for b, since_b, until_b in self._spine(right, False):
+                if since_b < until_a and since_a <= until_b:
+                    m = rank(a + b)
+                    if m is not None and m < until_a and m <= until_b:
+                        return False
+        return True
+
+    def _move(self, state: int, b: int) -> int:
         live = []
         for waiting, last, node in self.states[state]:
             child = self.go.get(node * 256 + b)
@@ -99,31 +130,39 @@ class Transducer:
         k = 0
         while k < same and all(w[k] == first[k] for w, _, _ in live):
             k += 1
-        then = tuple(sorted((w[k:], last, node) for w, last, node in live))
+        then = tuple(sorted((w[k:], last, node) for w, last, node in live)) if len(live) > 1 else ((live[0][0][k:], *live[0][1:]),)
         at = self.index.get(then)
         if at is None:
             at = self.index[then] = len(self.states)
             self.states.append(then)
-            self.moves.append({})
-            self.finals.append(next((w for w, _, node in then if node == 0), ()))
-        move = self.moves[state][b] = (at, first[:k])
-        self.n_moves += 1
-        return move
+            rest = next((w for w, _, node in then if node == 0), ())
+            if rest:
+                self.finals[at] = rest
+        key = state << 8 | b
+        if k:
+            self.written[key] = first[:k]
+            at = ~at
+        self.moves[key] = at
+        return at
 
     def encode(self, data: bytes) -> tuple[int, ...]:
         """Token ids of one piece."""
         whole = self.ranks.get(data)
         if whole is not None:
             return (whole,)
-        if self.n_moves >= KEPT_MOVES:
+        if len(self.moves) >= KEPT_MOVES:
             self._reset()
         out: list[int] = []
-        state, moves = 0, self.moves
+        state, known = 0, self.moves.get
         for b in data:
-            state, written = moves[state].get(b) or self._move(state, b)
-            if written:
-                out += written
-        return (*out, *self.finals[state])
+            then = known(state << 8 | b)
+            if then is None:
+                then = self._move(state, b)
+            if then < 0:
+                out += self.written[state << 8 | b]
+                then = ~then
+            state = then
+        return (*out, *self.finals.get(state, ()))
 
 
 def _longer(first: int) -> tuple[int, int, int] | None:
@@ -182,15 +221,16 @@ class Utf8Machine:
 
 
 class _Pieces(dict):
-    """Ids by piece; a missing one is encoded, and kept if it is short."""
+    """Ids by piece. A missing one is looked for among those set aside when this last was full, else encoded; short ones are kept."""
 
     def __init__(self, transducer: Transducer):
-        self.transducer = transducer
+        self.transducer, self.aside = transducer, {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        found = self.transducer.encode(piece.encode())
+        found = self.aside.get(piece) or self.transducer.encode(piece.encode())
         if len(piece) <= 64:
-            if len(self) >= KEPT_PIECES:
+            if len(self) >= KEPT_PIECES // 2:
+                self.aside = dict(self)
                 self.clear()
             self[piece] = found
         return found
