@@ -162,7 +162,7 @@ def weighted_mean(df: DataFrame, keys: list[str], value: str, weight: str) -> Da
 
 def tsdf_fold(df: DataFrame, keys: list[str], order: str, value: str, weight: str, as_written: bool = False) -> DataFrame:
     """Running truncated distance per voxel in the order of `order`: (t*w + v*dw) / (w + dw). `as_written` leaves the
-    weight out of the numerator, which makes the result depend on the order. A voxel's samples are one array."""
+    weight of the new sample out of the numerator. A voxel's samples are one array."""
     steps = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v"), F.col(weight).cast("double").alias("w"))))
     start = F.struct(F.lit(0.0).alias("t"), F.lit(0.0).alias("w"))
 

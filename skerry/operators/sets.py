@@ -39,7 +39,7 @@ def append_meshes(vertices: list[DataFrame], faces: list[DataFrame]) -> tuple[Da
     vs, fs, v0, f0 = None, None, 0, 0
     for k, (v, f) in enumerate(zip(vertices, faces, strict=True)):
         v1 = v.withColumn("vid", F.col("vid") + v0).withColumn("part", F.lit(k))
-        f1 = f.withColumn("v", F.transform("v", lambda i, o=v0: i + o)).withColumn("fid", F.col("fid") + f0).withColumn("part", F.lit(k))
+        f1 = f.withColumn("v", F.transform("v", lambda i: i + F.lit(v0))).withColumn("fid", F.col("fid") + f0).withColumn("part", F.lit(k))
         vs, fs = (v1, f1) if vs is None else (append(vs, v1), append(fs, f1))
         v0 += (v.agg(F.max("vid")).first()[0] or -1) + 1 if v.limit(1).count() else 0
         f0 += (f.agg(F.max("fid")).first()[0] or -1) + 1 if f.limit(1).count() else 0

@@ -73,7 +73,7 @@ def exposure_filled(frames: DataFrame) -> DataFrame:
     frames = frames.select(F.struct("id", "ts", "exposure").alias("f")).groupBy().agg(F.sort_array(F.collect_list("f")).alias("s"))  # one capture's frame list
 
     def fill(acc: Column, f: Column) -> Column:
-        last = F.element_at(acc.out, -1)
+        last = F.try_element_at(acc.out, F.lit(-1))
         before = F.coalesce(last.exposure, F.lit(0.0))
         after = F.coalesce(F.get(acc.all, F.size(acc.out) + 1).exposure, F.lit(0.0))
         mean = F.when((before > 0) & (after > 0), (before + after) / 2.0).otherwise(F.greatest(before, after))

@@ -92,6 +92,10 @@ def listing(spark: SparkSession, path: str, pattern: str = "*", recursive: bool
     return r.load(path).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
+def vertex_line() -> Column:
+    return F.concat_ws(" ", F.lit("v"), *[F.col(c).cast("double").cast("string") for c in "xyz"]).alias("line")
+
+
 def write_obj(vertices: DataFrame, faces: DataFrame, path: str, material: str | None = None) -> None:
     """`v` lines by vertex, then `f` lines with ids counted from 1, groups by `material` (a column of faces) if given. Lines
     carry their order through a range partitioning, so the parts of the folder make the file in name order."""
@@ -104,7 +108,7 @@ def write_obj(vertices: DataFrame, faces: DataFrame, path: str, material: str |
         f = f.join(faces.select("fid", F.col(material).alias("m")), "fid")
     else:
         f = f.withColumn("m", F.lit(""))
-    lines = v.select(F.lit(0).alias("k"), F.lit("").alias("m"), F.col("new").alias("o"), F.format_string("v %.9g %.9g %.9g", *[F.col(c).cast("double") for c in "xyz"]).alias("line"))
+    lines = v.select(F.lit(0).alias("k"), F.lit("").alias("m"), F.col("new").alias("o"), vertex_line())
     lines = lines.union(f.select(F.lit(2), "m", F.col("fid").cast("long"), F.concat(F.lit("f "), F.array_join(F.transform("v", lambda i: i.cast("string")), " "))))
     if material:
         lines = lines.union(f.select("m").distinct().select(F.lit(2), "m", F.lit(-1).cast("long"), F.concat(F.lit("usemtl "), "m")))
@@ -112,7 +116,7 @@ def write_obj(vertices: DataFrame, faces: DataFrame, path: str, material: str |
 
 
 def write_xyz(df: DataFrame, path: str) -> None:
-    df.select(F.format_string("v %.9g %.9g %.9g", *[F.col(c).cast("double") for c in "xyz"]).alias("line")).write.mode("overwrite").text(path)
+    df.select(vertex_line()).write.mode("overwrite").text(path)
 
 
 def write_numbers(df: DataFrame, columns: list[str], path: str, by: str | None = None) -> None:
