@@ -418,11 +418,11 @@ def neighbour_density(spark, sf_dir):
     return aggregates.neighbour_counts(points(spark, sf_dir), 0.1).select("pid", "n")
 
 
-@query("""WITH RECURSIVE o AS (SELECT user_id, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events WHERE user_id < 20),
+@query("""WITH RECURSIVE o AS (SELECT user_id, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
 f AS (SELECT user_id, r, v::DOUBLE AS t, 1::DOUBLE AS w FROM o WHERE r = 1 UNION ALL SELECT o.user_id, o.r, (f.t * f.w + o.v) / (f.w + 1), f.w + 1 FROM f JOIN o ON o.user_id = f.user_id AND o.r = f.r + 1)
 SELECT user_id, round(arg_max(t, r), 4) AS tsdf, round(max(w), 4) AS weight FROM f GROUP BY user_id""")
 def tsdf_fold(spark, sf_dir):
-    x = t(spark, sf_dir, "events").where("user_id < 20").withColumn("w", F.lit(1.0))
+    x = t(spark, sf_dir, "events").withColumn("w", F.lit(1.0))
     return aggregates.tsdf_fold(x, ["user_id"], "event_id", "value", "w").select("user_id", F.round("tsdf", 4).alias("tsdf"), F.round("weight", 4).alias("weight"))
 
 
@@ -476,7 +476,7 @@ def even_samples(spark, sf_dir):
 @query()
 def path_resample(spark, sf_dir):
     e = t(spark, sf_dir, "events").withColumn("at", micros("ts") / 1e8)
-    return windows.resampled(e.where("user_id < 20"), "user_id", ["ts", "event_id"], "at", "value", 100.0)
+    return windows.resampled(e, "user_id", ["ts", "event_id"], "at", "value", 100.0)
 
 
 @query()

@@ -186,10 +186,10 @@ def tracks(spark, sf_dir):
     return graph.tracks(m).groupBy("track", "conflict").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH RECURSIVE {P}, {_REACH.format(d=_NEAR, r=0.08)}, c AS (SELECT pid AS id, pid AS seed, 0 AS d FROM p WHERE pid < 3 UNION SELECT e.b, c.seed, c.d + 1 FROM c JOIN e ON e.a = c.id WHERE c.d < 6)
-SELECT id, CAST(min(d) AS DOUBLE) AS distance, arg_min(seed, d * 1000 + seed) AS seed FROM c GROUP BY id""")
+@query(f"""WITH RECURSIVE {P}, {_REACH.format(d=_NEAR, r=0.08)}, c AS (SELECT pid AS id, pid AS seed, 0 AS d FROM p WHERE pid IN (SELECT min(pid) FROM p GROUP BY label) UNION SELECT e.b, c.seed, c.d + 1 FROM c JOIN e ON e.a = c.id WHERE c.d < 6)
+SELECT id, CAST(min(d) AS DOUBLE) AS distance, arg_min(seed, d * 1000000 + seed) AS seed FROM c GROUP BY id""")
 def breadth_first(spark, sf_dir):
-    seeds = points(spark, sf_dir).where("pid < 3").select(F.col("pid").alias("id"))
+    seeds = points(spark, sf_dir).groupBy("label").agg(F.min("pid").alias("id")).select("id")
     return graph.search(_near_edges(spark, sf_dir, 0.08), seeds, most=6).select("id", "distance", "seed")
 
 
@@ -228,12 +228,12 @@ def neighbour_average(spark, sf_dir):
     return graph.averaged(v, e).join(ends, "id").select("id", r6("v").alias("v"))
 
 
-@query(f"""WITH RECURSIVE {P}, v AS (SELECT DISTINCT floor(x / 0.1) AS a, floor(y / 0.1) AS b, floor(z / 0.1) AS c FROM p WHERE label < 3),
+@query(f"""WITH RECURSIVE {P}, v AS (SELECT DISTINCT floor(x / 0.1) AS a, floor(y / 0.1) AS b, floor(z / 0.1) AS c FROM p),
 k AS (SELECT *, row_number() OVER (ORDER BY a, b, c) AS id FROM v), e AS (SELECT s.id AS s, q.id AS q FROM k s JOIN k q ON abs(s.a - q.a) <= 1 AND abs(s.b - q.b) <= 1 AND abs(s.c - q.c) <= 1),
 r AS (SELECT id, id AS root FROM k UNION SELECT e.q, r.root FROM r JOIN e ON e.s = r.id), g AS (SELECT id, min(root) AS g FROM r GROUP BY id), n AS (SELECT g, count(*) AS n FROM g GROUP BY g)
 SELECT n, count(*) AS components FROM n GROUP BY n""")
 def voxel_components(spark, sf_dir):
-    p = points(spark, sf_dir).where("label < 3")
+    p = points(spark, sf_dir)
     c = p.select(*[F.floor(F.col(a) / 0.1).alias(f"v{a}") for a in "xyz"])
     n = graph.grid_components(c).groupBy("component").agg(F.count("*").alias("n"))
     return n.groupBy("n").agg(F.count("*").alias("components"))
@@ -289,15 +289,15 @@ def colour_outliers(spark, sf_dir):
 
 # --- meshes --------------------------------------------------------------------------------------------------------
 
-_FACES = "f AS (SELECT event_id AS fid, [user_id % 60, (event_id * 7 + user_id) % 60, (event_id * 13) % 60] AS v FROM events WHERE event_id < 600)"
+_FACES = "f AS (SELECT event_id AS fid, [user_id % 500, (event_id * 7 + user_id) % 500, (event_id * 13) % 500] AS v FROM events)"
 _GOOD = "g AS (SELECT * FROM f WHERE v[1] <> v[2] AND v[2] <> v[3] AND v[1] <> v[3])"
 _EDGES = "d AS (SELECT fid, v[1] AS a, v[2] AS b FROM g UNION ALL SELECT fid, v[2], v[3] FROM g UNION ALL SELECT fid, v[3], v[1] FROM g)"
 
 
 def _mesh(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    e = t(spark, sf_dir, "events").where("event_id < 600")
-    f = e.select(F.col("event_id").alias("fid"), F.array(F.col("user_id") % 60, (F.col("event_id") * 7 + F.col("user_id")) % 60, F.col("event_id") * 13 % 60).alias("v"))
-    return points(spark, sf_dir).where("pid < 60").select(F.col("pid").alias("vid"), "x", "y", "z"), f
+    e = t(spark, sf_dir, "events")
+    f = e.select(F.col("event_id").alias("fid"), F.array(F.col("user_id") % 500, (F.col("event_id") * 7 + F.col("user_id")) % 500, F.col("event_id") * 13 % 500).alias("v"))
+    return points(spark, sf_dir).select(F.col("pid").alias("vid"), "x", "y", "z"), f
 
 
 def _good(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -357,7 +357,7 @@ def used_vertices(spark, sf_dir):
     return mesh.without_unused(*_mesh(spark, sf_dir)).select("vid")
 
 
-@query(f"""WITH {P} SELECT count(*) AS n, {R('sum(mx)')} AS x FROM (SELECT avg(x) AS mx FROM p WHERE pid < 60 GROUP BY floor(x / 0.1), floor(y / 0.1), floor(z / 0.1))""")
+@query(f"""WITH {P} SELECT count(*) AS n, {R('sum(mx)')} AS x FROM (SELECT avg(x) AS mx FROM p GROUP BY floor(x / 0.1), floor(y / 0.1), floor(z / 0.1))""")
 def clustered_vertices(spark, sf_dir):
     v, _ = mesh.clustered(*_mesh(spark, sf_dir), 0.1)
     return v.agg(F.count("*").alias("n"), r6(F.sum("x")).alias("x"))
@@ -375,12 +375,16 @@ def mesh_cleaned(spark, sf_dir):
 
 @query()
 def mesh_point_distance(spark, sf_dir):
-    return mesh.mesh_distance(points(spark, sf_dir), *_good(spark, sf_dir), 0.2, 0.1)
+    p = points(spark, sf_dir).select("pid", "x", "y", "z")
+    near = spatial.knn_join(p, p, 2).groupBy(F.col("a.pid").alias("fid")).agg(F.sort_array(F.collect_list("b.pid")).alias("n"))
+    faces = near.where(F.size("n") == 2).select("fid", F.concat(F.array("fid"), "n").alias("v"))
+    return mesh.mesh_distance(p, p.withColumnRenamed("pid", "vid"), faces, 0.1, 0.05)
 
 
 @query()
 def face_view_costs(spark, sf_dir):
-    views = points(spark, sf_dir).where("pid between 60 and 80").select(F.col("pid").alias("view_id"), V.scale(V.vec("x", "y", "z"), 5.0).alias("centre"))
+    middle = points(spark, sf_dir).groupBy("label").agg(*[(F.avg(c) * 20.0).alias(c) for c in "xyz"])
+    views = middle.select(F.col("label").alias("view_id"), V.vec("x", "y", "z").alias("centre"))
     return mesh.clamped_costs(mesh.face_view_costs(*_good(spark, sf_dir), views))
 
 
@@ -489,7 +493,7 @@ def ordered_files(spark, sf_dir):
 
 
 def _frames(spark, sf_dir) -> DataFrame:
-    e = t(spark, sf_dir, "events").where("user_id < 40")
+    e = t(spark, sf_dir, "events")
     return e.select(F.col("user_id").alias("stream"), F.col("event_id").alias("id"), (micros("ts") / 1e6).alias("ts"), (F.col("value") / 100.0).alias("x"), F.lit(0.0).alias("y"))
 
 
