@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from skerry.functions import camera, colour, distributions
 from skerry.functions import geometry as G
 from skerry.functions import vectors as V
-from skerry.operators import fitting, graph, images, mesh, records, spatial
+from skerry.operators import aggregates, fitting, graph, images, mesh, records, spatial, surfaces
 from skerry.plans.catalog import P, R, micros, one, points, query, r6, t
 from skerry.plans.iterate import Scratch
 
@@ -520,3 +520,33 @@ def ply_round_trip(spark, sf_dir):
     path = f"{Scratch(spark).root}/points.ply"
     points(spark, sf_dir).select(F.col("pid").cast("int").alias("pid"), "x", "y", "z").write.format("ply").mode("append").save(path)
     return spark.read.format("ply").load(path).select(F.col("pid").cast("long").alias("pid"), "x", "y", "z")
+
+
+# --- surfaces ------------------------------------------------------------------------------------------------------
+
+
+@query()
+def isosurface(spark, sf_dir):
+    v = aggregates.scatter_tsdf(points(spark, sf_dir), 0.1, 0.2)
+    return surfaces.isosurface(v.select("cx", "cy", "cz", F.col("tsdf").alias("v")), 0.1)
+
+
+@query()
+def label_triangulation(spark, sf_dir):
+    return surfaces.delaunay(points(spark, sf_dir), "label", 0.3)
+
+
+@query()
+def moving_least_squares(spark, sf_dir):
+    return surfaces.moving_least_squares(points(spark, sf_dir), 0.12)
+
+
+@query()
+def planar_regions(spark, sf_dir):
+    return surfaces.planar_regions(points(spark, sf_dir), 0.1, 20.0, 0.03)
+
+
+@query()
+def graph_partitions(spark, sf_dir):
+    seeds = points(spark, sf_dir).groupBy("label").agg(F.min("pid").alias("id")).select("id")
+    return surfaces.partitions(_near_edges(spark, sf_dir, 0.12).where("a < b"), seeds, 2)
