@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from . import bpe_transducer, budget_mix, cap_filters, chosen_path, compression_quality, divergence_rules, entropy_secrets, html_mincut, pitman_yor, reply_trees
 from .common import table
+from .oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 
 def op1_compression_quality(spark, sf_dir):
@@ -67,4 +70,3 @@ QUERIES = {
         op10_pitman_yor,
     )
 }
-ORACLES: dict[str, str] = {}
