@@ -36,8 +36,9 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each document, and whether they decode to its text."""
-    return bpe_transducer.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ["doc_id", "lang", "source"])
+    """The token ids of each document, and whether they decode to its text. Workers stay between stages, so they keep less."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe_transducer.encode(docs, path, public_tokenizers.PATTERN, ["doc_id", "lang", "source"], kept=bpe_transducer.KEPT_LESS)
 
 
 STAGES = [

@@ -27,8 +27,9 @@ from pyspark.sql import types as T
 
 from .texts import map_rows
 
-#: Entries kept of pieces and of moves before they are dropped and found anew; this bounds memory, not results.
-KEPT_PIECES, KEPT_MOVES = 240_000, 400_000
+#: Pieces and moves kept before they are dropped and found anew; this bounds memory (to 0.5 GB and 0.35 GB a worker), not results.
+KEPT, KEPT_LESS = (800_000, 700_000), (240_000, 400_000)
+KEPT_FITS = 200_000
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -59,8 +60,8 @@ def last_merge(data: bytes, ranks: dict[bytes, int]) -> list[bytes]:
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], kept: int = KEPT[1]):
+        self.ranks, self.kept = ranks, kept
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.go: dict[int, int] = {}  # trie node * 256 + byte -> node; the root is 0
         self.ends: dict[int, int] = {}  # node -> token
@@ -77,6 +78,7 @@ class Transducer:
                 node = self.go[key]
             self.ends[node] = rank
         self.spines: tuple[dict, dict] = ({}, {})
+        self.fit: dict[int, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
@@ -106,6 +108,15 @@ class Transducer:
         the same time and their own merge comes before what takes either away (of equal ranks the left one comes first)."""
         if left < 0:
             return True
+        key = left << 32 | right
+        found = self.fit.get(key)
+        if found is None:
+            if len(self.fit) >= KEPT_FITS:
+                self.fit.clear()
+            found = self.fit[key] = self._fits(left, right)
+        return found
+
+    def _fits(self, left: int, right: int) -> bool:
         rank = self.ranks.get
         for a, since_a, until_a in self._spine(left, True):
             for b, since_b, until_b in self._spine(right, False):
@@ -150,7 +161,7 @@ class Transducer:
         whole = self.ranks.get(data)
         if whole is not None:
             return (whole,)
-        if len(self.moves) >= KEPT_MOVES:
+        if len(self.moves) >= self.kept:
             self._reset()
         out: list[int] = []
         state, known = 0, self.moves.get
@@ -181,6 +192,7 @@ class Utf8Machine:
 
     def __init__(self, bytes_of: dict[int, bytes]):
         self.bytes_of, self.moves = bytes_of, {b"": {}}
+        self.whole: dict[int, str] = {}  # tokens of whole characters
 
     @staticmethod
     def feed(state: bytes, data: bytes) -> tuple[bytes, str]:
@@ -207,29 +219,45 @@ class Utf8Machine:
                 out.append("�")
         return held, "".join(out)
 
-    def decode(self, ids) -> str:
+    def decode(self, ids: list[int]) -> str:
+        """Text of all ids. A run of tokens that begin and end with whole characters leaves the machine where it was, so such
+        runs are looked up at once; others go through it token by token."""
         out, state = [], b""
+        for at in range(0, len(ids), 64):
+            run = ids[at : at + 64]
+            if not state:
+                try:
+                    out.append("".join(map(self.whole.__getitem__, run)))
+                    continue
+                except KeyError:
+                    pass
+            state = self._through(state, run, out)
+        return "".join(out) + ("�" if state else "")
+
+    def _through(self, state: bytes, ids: list[int], out: list[str]) -> bytes:
         moves = self.moves[state]
         for i in ids:
             move = moves.get(i)
             if move is None:
                 then, text = self.feed(state, self.bytes_of[i])
                 move = moves[i] = (then, text, self.moves.setdefault(then, {}))
+                if not state and not then:
+                    self.whole[i] = text
             state, text, moves = move
             out.append(text)
-        return "".join(out) + ("�" if state else "")
+        return state
 
 
 class _Pieces(dict):
     """Ids by piece. A missing one is looked for among those set aside when this last was full, else encoded; short ones are kept."""
 
-    def __init__(self, transducer: Transducer):
-        self.transducer, self.aside = transducer, {}
+    def __init__(self, transducer: Transducer, kept: int):
+        self.transducer, self.kept, self.aside = transducer, kept, {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         found = self.aside.get(piece) or self.transducer.encode(piece.encode())
         if len(piece) <= 64:
-            if len(self) >= KEPT_PIECES // 2:
+            if len(self) >= self.kept // 2:
                 self.aside = dict(self)
                 self.clear()
             self[piece] = found
@@ -239,10 +267,10 @@ class _Pieces(dict):
 class Tokenizer:
     """Pieces by a pattern, each encoded for itself."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.transducer = Transducer(ranks)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, kept: tuple[int, int] = KEPT):
+        self.transducer = Transducer(ranks, kept[1])
         self.machine = Utf8Machine(self.transducer.bytes_of)
-        self.pieces = _Pieces(self.transducer)
+        self.pieces = _Pieces(self.transducer, kept[0])
         self.find = regex.compile(pattern).findall
 
     def encode(self, text: str) -> list[int]:
@@ -253,13 +281,13 @@ class Tokenizer:
 
 
 @functools.lru_cache(maxsize=2)
-def _built(data: bytes, pattern: str) -> Tokenizer:
-    return Tokenizer(parse_ranks(data), pattern)
+def _built(data: bytes, pattern: str, kept: tuple[int, int]) -> Tokenizer:
+    return Tokenizer(parse_ranks(data), pattern, kept)
 
 
-def _worker(data, pattern: str, row):
+def _worker(data, pattern: str, kept: tuple[int, int], row):
     """A row function over the tokenizer of this Python process, built once."""
-    return lambda: functools.partial(row, _built(data.value, pattern))
+    return lambda: functools.partial(row, _built(data.value, pattern, kept))
 
 
 def _digest(tokenizer: Tokenizer, text: str | None):
@@ -278,18 +306,18 @@ def read_vocabulary(path: str) -> bytes:
         return file.read()
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, keep: list[str], text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, pattern: str, keep: list[str], text: str = "text", kept: tuple[int, int] = KEPT) -> DataFrame:
     """Columns `keep` with ids, n_tokens, and round_trip: whether the ids decode to the text again.
 
     The vocabulary file (some hundred KB, of fixed size) is read by the driver and broadcast.
     """
     data = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
     out = [("ids", T.ArrayType(T.IntegerType())), ("n_tokens", T.LongType()), ("round_trip", T.BooleanType())]
-    return map_rows(docs, keep, [text], _worker(data, pattern, _ids), out)
+    return map_rows(docs, keep, [text], _worker(data, pattern, kept, _ids), out)
 
 
-def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, keep: list[str], text: str = "text") -> DataFrame:
+def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, keep: list[str], text: str = "text", kept: tuple[int, int] = KEPT) -> DataFrame:
     """Columns `keep` with n_tokens, the digest of the ids, and the digest of what they decode to."""
     data = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
     out = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
-    return map_rows(docs, keep, [text], _worker(data, pattern, _digest), out)
+    return map_rows(docs, keep, [text], _worker(data, pattern, kept, _digest), out)
