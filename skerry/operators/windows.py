@@ -38,9 +38,9 @@ def resampled(df: DataFrame, key: str, order: list[str], x: str, y: str, step: f
     e = df.withColumn("d", d).withColumn("nx", F.lead(x).over(w)).withColumn("ny", F.lead(y).over(w)).withColumn("s", F.sum("d").over(w) - F.col("d")).where("d > 0")
     first = F.ceil(F.col("s") / step)
     last = F.ceil((F.col("s") + F.col("d")) / step) - 1
-    e = e.where(last >= first).select(key, "s", "d", x, y, "nx", "ny", F.explode(F.sequence(first, last)).alias("k"))
-    t = (F.col("k") * step - F.col("s")) / F.col("d")
-    return e.select(key, (F.col("k") * step).alias("at"), (F.col(x) + (F.col("nx") - F.col(x)) * t).alias("x"), (F.col(y) + (F.col("ny") - F.col(y)) * t).alias("y"))
+    e = e.where(last >= first).select(key, "s", "d", x, y, "nx", "ny", F.explode(F.sequence(first, last)).alias("step_no"))
+    t = (F.col("step_no") * step - F.col("s")) / F.col("d")
+    return e.select(key, (F.col("step_no") * step).alias("at"), (F.col(x) + (F.col("nx") - F.col(x)) * t).alias("x"), (F.col(y) + (F.col("ny") - F.col(y)) * t).alias("y"))
 
 
 def even_samples(low: Column, high: Column, n: int, whole: bool = False) -> Column:
