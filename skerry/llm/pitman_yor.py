@@ -1,11 +1,11 @@
 """Language-model scoring by a hierarchical Pitman-Yor model of words.
 
-Restaurants. A word's context is the class of the word before it: `u1`, one of 64 by its last letter, and `u2`, one of
-64 within that by its last three letters. The restaurant of a `u2` has that of its `u1` as parent, those have the root,
-and the root has the uniform distribution over the V training tokens and one place for all unknown ones. Classes in
-place of whole words keep the totals of all restaurants at 4,161 numbers, whatever the corpus, so that everything a
-word's seating needs beside its own customers can be sent to every task; the customers themselves are all (context,
-word) counts of the training texts.
+Restaurants. A word's context is the word before it, at the start of a text the end token; each such word has a
+restaurant. Its parent is that of its class `u2`, one of 64 by its last three letters within `u1`, one of 64 by its last
+letter. The restaurant of a `u2` has that of its `u1` as parent, those have the root, and the root has the uniform
+distribution over the V training tokens and one place for all unknown ones. Customers of the lowest restaurants are all
+(word before, word) counts of the training texts. The totals of the classes are 4,161 numbers and are sent to every
+task; those of the words' restaurants grow with the corpus and stay spread.
 
 Seating. State is the number of tables per restaurant and dish. A sweep of the Gibbs sampler seats each dish's customers
 anew, one after another (in growing batches once there are many), given the parent's predictive probability and the
@@ -17,7 +17,10 @@ alone.
 Flow. Texts are read once, in blocks of about `BLOCK_CHARS`: a block writes its documents as sorted references to its
 distinct (word, context) pairs, and these pairs, summed over the block, packed by parts of the word hashes. Parts add up
 the blocks' counts, run the sweeps, and send each block the probabilities of its pairs; the block then adds them up per
-document. A pair that is everywhere is one entry per block, so no part or task has more of it than others.
+document. A pair that is everywhere is one entry per block, so no part or task has more of it than others. A context's
+customers are spread over the parts of the words after it. The part that its own hash falls in owns its totals: after
+each sweep every part sends the owners the tables of its contexts, and the owners send back the sums; a context that is
+everywhere is one entry per part.
 
 Defined cases: null and empty texts are an end token alone. Words are compared by 64-bit hashes. Every row is scored,
 repeated ids included, and learned from where its fold says so. With no training text, N is 0 and every word unknown.
@@ -39,14 +42,16 @@ from pyspark.sql import functions as F
 from .common import Scratch, fold
 
 U1, U2 = 64, 64 * 64
-#: Discount and strength by level: root, u1, u2.
-DISCOUNT, STRENGTH = (0.55, 0.75, 0.85), (5.0, 20.0, 20.0)
+#: Discount and strength by level: root, u1, u2, word before.
+DISCOUNT, STRENGTH = (0.55, 0.75, 0.85, 0.85), (5.0, 20.0, 20.0, 5.0)
 BURN, AVERAGED, SEED = 2, 2, 20
 BLOCK_CHARS, PART_CHARS = 4_000_000, 8_000_000
 END = xxhash.xxh3_64_intdigest(b"")  # no word is empty
 EXACT_SEATS = 64
 #: Numbers that describe all restaurants (see Part.totals), and the rows in which their sums reach the driver.
-N_TOTALS, SLOTS = 2 * U2 + U1 + 3, 32
+N_TOTALS, SLOTS = 2 * U2 + U1 + 4, 32
+#: Kinds of rows between parts; `docs` then holds the kind and the number of sweeps done, `block` the sender.
+STATIC, TOTALS, ASKED, INDEX, SUMMED = range(5)
 
 _PACKED = "block long, part int, docs array<long>, body binary"
 
@@ -78,9 +83,6 @@ def context_class(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(tail[-1:].encode()) % U1 * 64 + xxhash.xxh3_64_intdigest(tail.encode()) % 64
 
 
-START = context_class(b"")
-
-
 def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
     """Part of each word; it grows with the hash, so parts are ranges of sorted hashes."""
     return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
@@ -102,16 +104,16 @@ def block_rows(block: int, rows: list[tuple[int | None, bool, str | None]], part
     sizes = np.array([len(x) for x in ids])
     flat = np.concatenate(ids)
     before = np.empty(len(flat), np.int64)
-    before[1:] = classes[flat[:-1]]
+    before[1:] = place[flat[:-1]]
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    before[starts] = START
-    pairs, at = np.unique(place[flat] * U2 + before, return_inverse=True)
+    before[starts] = place[0]
+    pairs, at = np.unique(place[flat] * len(names) + before, return_inverse=True)
     train = np.repeat(np.array([t for _, t, _ in rows]), sizes)
     counts = np.bincount(at[train], minlength=len(pairs)).astype(np.uint32)
     held = np.sort(np.repeat(np.arange(len(rows)), sizes) * len(pairs) + at) % len(pairs)
     steps = np.diff(held, prepend=0).astype(np.int32)
     steps[starts] = held[starts]
-    word, hashes = pairs // U2, hashes[order]
+    word, before, hashes, classes = pairs // len(names), pairs % len(names), hashes[order], classes[order]
     yield block, -1, [i for i, _, _ in rows], pack(sizes.astype(np.uint32), steps)
     edges = np.searchsorted(part_of(hashes, parts), np.arange(parts + 1))
     cuts = np.searchsorted(word, edges)
@@ -120,7 +122,9 @@ def block_rows(block: int, rows: list[tuple[int | None, bool, str | None]], part
         if a < b:
             x, y = cuts[p], cuts[p + 1]
             n = np.bincount(word[x:y] - a, minlength=b - a).astype(np.uint32)
-            yield block, p, [], pack(np.diff(hashes[a:b], prepend=np.uint64(0)), n, (pairs[x:y] % U2).astype(np.uint16), counts[x:y])
+            contexts, to = np.unique(before[x:y], return_inverse=True)
+            about = np.diff(hashes[contexts], prepend=np.uint64(0)), classes[contexts].astype(np.uint16), to.astype(np.uint32)
+            yield block, p, [], pack(np.diff(hashes[a:b], prepend=np.uint64(0)), n, *about, counts[x:y])
 
 
 def _batch(rows) -> pa.RecordBatch:
@@ -149,44 +153,53 @@ def _blocks(parts: int):
 
 
 def read_pairs(body: bytes):
-    """Hashes of a packed share's words, the word of each pair, its context and its training count."""
-    steps, n, context, counts = unpack(body)
-    return np.cumsum(steps, dtype=np.uint64), np.repeat(np.arange(len(n)), n), context.astype(np.int64), counts.astype(np.int64)
+    """Hashes of a packed share's words, the word of each pair, hashes and classes of the contexts, the context of each
+    pair and its training count."""
+    steps, n, before, classes, context, counts = unpack(body)
+    return np.cumsum(steps, dtype=np.uint64), np.repeat(np.arange(len(n)), n), np.cumsum(before, dtype=np.uint64), classes.astype(np.int64), context.astype(np.int64), counts.astype(np.int64)
 
 
 class Part:
-    """Seating of the words of one part. Pairs are sorted by word and context; only those with customers count."""
-
-    def __init__(self, number: int, hashes: np.ndarray, pairs: np.ndarray, counts: np.ndarray):
-        self.number, self.hashes, self.pairs, self.c2 = number, hashes, pairs, counts
-        self.word, self.u2 = pairs // U2, pairs % U2
+    """Seating of the words of one part. Pairs are sorted by word and context; only those with customers count.
+    `contexts` are the sorted hashes of all words before, also of those that are only asked for."""
+
+    def __init__(self, number: int, hashes: np.ndarray, contexts: np.ndarray, classes: np.ndarray, pairs: np.ndarray, counts: np.ndarray):
+        self.number, self.hashes, self.contexts, self.classes, self.pairs3, self.c3 = number, hashes, contexts, classes, pairs, counts
+        self.word3, self.context = pairs // max(len(contexts), 1), pairs % max(len(contexts), 1)
+        self.pairs, self.to2 = np.unique(self.word3 * U2 + classes[self.context], return_inverse=True)
+        self.word, self.u2 = self.pairs // U2, self.pairs % U2
         self.pairs1, self.to1 = np.unique(self.word * U1 + self.u2 // 64, return_inverse=True)
         self.word1, self.u1 = self.pairs1 // U1, self.pairs1 % U1
         self.n_words = len(hashes)
-        self.c0 = np.zeros(self.n_words, np.int64)
-        self.tables([np.ones(len(pairs), np.int64), np.ones(len(self.pairs1), np.int64), np.ones(self.n_words, np.int64)])
+        self.tables([np.ones(len(x), np.int64) for x in (pairs, self.pairs, self.pairs1, hashes)])
 
     @classmethod
     def merged(cls, number: int, bodies) -> Part:
         shares = [read_pairs(b) for b in bodies]
-        hashes = np.unique(np.concatenate([s[0][np.unique(s[1][s[3] > 0])] for s in shares]))
+        hashes = np.unique(np.concatenate([s[0][np.unique(s[1][s[5] > 0])] for s in shares]))
+        contexts, first = np.unique(np.concatenate([s[2] for s in shares]), return_index=True)
         keys, counts = [], []
-        for h, w, u, c in shares:
+        for h, w, before, _, u, c in shares:
             c, keep = c[c > 0], c > 0
-            keys.append(np.searchsorted(hashes, h)[w[keep]] * U2 + u[keep])
+            keys.append(np.searchsorted(hashes, h)[w[keep]] * len(contexts) + np.searchsorted(contexts, before)[u[keep]])
             counts.append(c)
         pairs, at = np.unique(np.concatenate(keys), return_inverse=True)
-        return cls(number, hashes, pairs, np.bincount(at, np.concatenate(counts), len(pairs)).astype(np.int64))
+        return cls(number, hashes, contexts, np.concatenate([s[3] for s in shares])[first], pairs, np.bincount(at, np.concatenate(counts), len(pairs)).astype(np.int64))
 
     def tables(self, found: list[np.ndarray]) -> None:
-        self.t2, self.t1, self.t0 = found
+        self.t3, self.t2, self.t1, self.t0 = found
+        self.c2 = np.bincount(self.to2, self.t3, len(self.pairs)).astype(np.int64)
         self.c1 = np.bincount(self.to1, self.t2, len(self.pairs1)).astype(np.int64)
         self.c0 = np.bincount(self.word1, self.t1, self.n_words).astype(np.int64)
 
+    def by_context(self, n: np.ndarray) -> np.ndarray:
+        """Sums of a number of each lowest pair: `t3` or `c3`, as far as this part's words go."""
+        return np.bincount(self.context, n, len(self.contexts)).astype(np.int64)
+
     def totals(self) -> np.ndarray:
         """Customers of u2; tables of u2 and of u1; customers and tables of the root; number of words; tokens."""
         add = lambda u, n, size: np.bincount(u, n, size)
-        rest = [self.c0.sum(), self.t0.sum(), self.n_words]
+        rest = [self.c0.sum(), self.t0.sum(), self.n_words, self.c3.sum()]
         return np.concatenate([add(self.u2, self.c2, U2), add(self.u2, self.t2, U2), add(self.u1, self.t1, U1), rest]).astype(float)
 
     def predictive(self, totals: np.ndarray):
@@ -196,14 +209,18 @@ class Part:
         p1 = m.level1(self.c1, self.t1, self.u1, p0[self.word1])
         return p0, p1, m.level2(self.c2, self.t2, self.u2, p1[self.to1])
 
-    def sweep(self, totals: np.ndarray, number: int) -> None:
+    def sweep(self, totals: np.ndarray, number: int, tables3: np.ndarray | None = None) -> None:
+        """`tables3` are the tables of each context's restaurant over all parts; by default this part is the only one."""
         rng, m = np.random.default_rng([SEED, self.number, number]), Totals(totals)
-        p0, p1, _ = self.predictive(totals)
-        t2 = seat(rng, self.c2, m.open2[self.u2] * p1[self.to1], DISCOUNT[2])
+        p0, p1, p2 = self.predictive(totals)
+        open3 = STRENGTH[3] + DISCOUNT[3] * (self.by_context(self.t3) if tables3 is None else tables3)
+        t3 = seat(rng, self.c3, open3[self.context] * p2[self.to2], DISCOUNT[3])
+        c2 = np.bincount(self.to2, t3, len(self.pairs)).astype(np.int64)
+        t2 = seat(rng, c2, m.open2[self.u2] * p1[self.to1], DISCOUNT[2])
         c1 = np.bincount(self.to1, t2, len(self.pairs1)).astype(np.int64)
         t1 = seat(rng, c1, m.open1[self.u1] * p0[self.word1], DISCOUNT[1])
         c0 = np.bincount(self.word1, t1, self.n_words).astype(np.int64)
-        self.tables([t2, t1, seat(rng, c0, np.full(self.n_words, m.open0 * m.uniform), DISCOUNT[0])])
+        self.tables([t3, t2, t1, seat(rng, c0, np.full(self.n_words, m.open0 * m.uniform), DISCOUNT[0])])
 
 
 class Totals:
@@ -211,10 +228,10 @@ class Totals:
 
     def __init__(self, x: np.ndarray):
         c2, tables2, tables1 = x[:U2], x[U2 : 2 * U2], x[2 * U2 : 2 * U2 + U1]
-        c0, tables0, words = x[2 * U2 + U1 :]
+        c0, tables0, words, self.tokens = x[2 * U2 + U1 :]
         self.all2, self.all1, self.all0 = STRENGTH[2] + c2, STRENGTH[1] + tables2.reshape(U1, 64).sum(1), STRENGTH[0] + c0
         self.open2, self.open1, self.open0 = STRENGTH[2] + DISCOUNT[2] * tables2, STRENGTH[1] + DISCOUNT[1] * tables1, STRENGTH[0] + DISCOUNT[0] * tables0
-        self.uniform, self.tokens, self.words = 1.0 / (words + 1), c2.sum(), words
+        self.uniform, self.words = 1.0 / (words + 1), words
 
     def root(self, c, t):
         return (np.maximum(c - DISCOUNT[0] * t, 0) + self.open0 * self.uniform) / self.all0
@@ -245,68 +262,144 @@ def seat(rng, customers: np.ndarray, open_weight: np.ndarray, discount: float) -
     return tables
 
 
-def _merge(key, table):
-    part = Part.merged(key[0].as_py(), table.column("body").to_pylist())
-    body = pack(np.diff(part.hashes, prepend=np.uint64(0)), np.bincount(part.word, minlength=part.n_words).astype(np.uint32), part.u2.astype(np.uint16), part.c2.astype(np.uint32 if part.c2.max(initial=0) < 1 << 32 else np.uint64))
-    return pa.Table.from_batches([_batch([(0, key[0].as_py(), [], body)])])
+def _merge(parts: int):
+    def run(key, table):
+        p = key[0].as_py()
+        part = Part.merged(p, table.column("body").to_pylist())
+        n = np.bincount(part.word3, minlength=part.n_words).astype(np.uint32)
+        static = pack(n, part.classes.astype(np.uint16), part.context.astype(np.uint32), part.c3.astype(np.uint32 if part.c3.max(initial=0) < 1 << 32 else np.uint64))
+        rows = [(p, p, [STATIC, 0], static), (p, p % SLOTS, [TOTALS, 0], pack(part.totals()))]
+        t, c = part.by_context(part.t3).astype(np.uint32), part.by_context(part.c3).astype(np.uint64)
+        for q, a, b in _owners(part_of(part.contexts, parts)):
+            rows.append((p, q, [ASKED, 0], pack(np.diff(part.contexts[a:b], prepend=np.uint64(0)), t[a:b], c[a:b])))
+        return pa.Table.from_batches([_batch(rows)])
 
+    return run
 
-def _swept(part: Part, history: list[np.ndarray]) -> Part:
-    for number, totals in enumerate(history):
-        part.sweep(totals, number)
-    return part
 
+def _owners(owner: np.ndarray):
+    """Runs of equal numbers in a sorted array: number, start, end."""
+    found, starts = np.unique(owner, return_index=True)
+    return zip(found.tolist(), starts.tolist(), [*starts[1:].tolist(), len(owner)], strict=True)
 
-def _sweep(history):
-    """One row per task: the summed totals of its parts after all sweeps so far."""
 
-    def run(batches):
-        total = np.zeros(N_TOTALS)
-        for batch in batches:
-            for p, body in zip(batch.column("part").to_pylist(), batch.column("body").to_pylist(), strict=True):
-                h, w, u, c = read_pairs(body)
-                total += _swept(Part(p, h, w * U2 + u, c), history.value).totals()
-        slot = TaskContext.get().partitionId() % SLOTS
-        yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([total], pa.list_(pa.float64()))], ["slot", "totals"])
+def _rows_of(table):
+    """Rows between parts, by sender: sender, kind, sweeps done, body."""
+    rows = zip(table.column("block").to_pylist(), table.column("docs").to_pylist(), table.column("body").to_pylist(), strict=True)
+    return sorted((block, *(docs or [STATIC, 0]), body) for block, docs, body in rows)
+
+
+def _own(key, table):
+    """Sum tables and customers of the contexts that fall in a part; each sender gets its contexts' sums."""
+    q, asked = key[0].as_py(), [(p, *unpack(body)) for p, _, _, body in _rows_of(table)]
+    contexts = [np.cumsum(steps, dtype=np.uint64) for _, steps, _, _ in asked]
+    mine = np.unique(np.concatenate(contexts))
+    at = [np.searchsorted(mine, x) for x in contexts]
+    sums = [np.bincount(np.concatenate(at), np.concatenate([x[k] for x in asked]), len(mine)) for k in (2, 3)]
+    rows = [(q, p, [SUMMED, 0], pack(sums[0][x].astype(np.uint32), sums[1][x].astype(np.uint64))) for (p, *_), x in zip(asked, at, strict=True)]
+    rows += [(p, q, [INDEX, 0], pack(np.diff(x, prepend=0).astype(np.uint32))) for (p, *_), x in zip(asked, at, strict=True)]
+    return pa.Table.from_batches([_batch(rows)])
+
+
+def _own_again(number: int):
+    """The same for the tables after later sweeps, by the places that the first time found."""
+
+    def run(key, table):
+        rows = _rows_of(table)
+        at = {p: np.cumsum(unpack(body)[0], dtype=np.int64) for p, kind, _, body in rows if kind == INDEX}
+        t = {p: unpack(body)[0] for p, kind, _, body in rows if kind == ASKED}
+        total = np.bincount(np.concatenate([at[p] for p in t]), np.concatenate([*t.values()]))
+        return pa.Table.from_batches([_batch([(key[0].as_py(), p, [SUMMED, number], pack(total[at[p]].astype(np.uint32))) for p in t])])
+
+    return run
+
+
+def _context_totals(rows, size: int):
+    """Tables of a part's contexts by sweeps done, and their customers, from the owners' rows."""
+    tables: dict[int, list[np.ndarray]] = {}
+    customers = []
+    for _, kind, number, body in rows:
+        if kind == SUMMED:
+            t, *c = unpack(body)
+            tables.setdefault(number, []).append(t)
+            customers += c
+    done = [np.concatenate(tables[n]).astype(float) for n in sorted(tables)]
+    assert all(len(t) == size for t in done)
+    return done, np.concatenate(customers).astype(float) if customers else np.zeros(size)
+
+
+def _sweep(sent):
+    """Totals of a part after all sweeps so far, and for the owners the tables of its contexts."""
+
+    def run(key, table):
+        p, rows, history = key[0].as_py(), _rows_of(table), sent.value
+        n, classes, context, c = unpack(next(body for _, kind, _, body in rows if kind == STATIC))
+        # only the contexts' number counts for a sweep, and owners' rows come in the order of their hashes
+        pairs = np.repeat(np.arange(len(n)), n) * len(classes) + context
+        part = Part(p, np.zeros(len(n), np.uint64), np.zeros(len(classes), np.uint64), classes.astype(np.int64), pairs, c.astype(np.int64))
+        done, _ = _context_totals(rows, len(classes))
+        for number, (totals, tables) in enumerate(zip(history, done, strict=True)):
+            part.sweep(totals, number, tables)
+        out = [(p, p % SLOTS, [TOTALS, len(history)], pack(part.totals()))]
+        t, at = part.by_context(part.t3).astype(np.uint32), 0
+        for q, kind, number, body in rows:
+            if kind == SUMMED and number == 0:
+                size = len(unpack(body)[0])
+                out.append((p, q, [ASKED, len(history)], pack(t[at : at + size])))
+                at += size
+        return pa.Table.from_batches([_batch(out)])
 
     return run
 
 
 def _sum(key, table):
-    total = np.sum([np.array(t) for t in table.column("totals").to_pylist()], axis=0)
+    total = np.sum([unpack(body)[0] for body in table.column("body").to_pylist()], axis=0)
     return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total], pa.list_(pa.float64()))], ["slot", "totals"])
 
 
 def _answer(sent):
     def run(key, table):
-        history = sent.value
-        blocks, bodies = table.column("block").to_pylist(), table.column("body").to_pylist()
-        part = Part.merged(key[0].as_py(), bodies)
-        count0 = np.bincount(part.word, part.c2, part.n_words).astype(np.int64)
+        history, rows = sent.value, _rows_of(table)
+        shares = [(block, body) for block, kind, _, body in rows if kind == STATIC]
+        part = Part.merged(key[0].as_py(), [body for _, body in shares])
+        done, customers3 = _context_totals(rows, len(part.contexts))
+        count0 = np.bincount(part.word3, part.c3, part.n_words).astype(np.int64)
         asked = []
-        for body in bodies:
-            h, w, u, _ = read_pairs(body)
+        for _, body in shares:
+            h, w, before, classes, u, _ = read_pairs(body)
             at = np.searchsorted(part.hashes, h)
             known = (at < part.n_words) & (part.hashes[np.minimum(at, part.n_words - 1)] == h) if part.n_words else np.zeros(len(h), bool)
             word = np.where(known, at, -1)[w]
-            asked.append([w, known, at, word, u, np.zeros(len(u))])
-        for number, totals in enumerate(history):
+            asked.append([w, known, at, word, np.searchsorted(part.contexts, before)[u], classes[u], np.zeros(len(u))])
+        for number, (totals, tables) in enumerate(zip(history, done, strict=True)):
             if number >= len(history) - AVERAGED:
                 m = Totals(totals)
                 p0, p1, p2 = part.predictive(totals)
                 for x in asked:
-                    x[5] += look_up(part, m, p0, p1, p2, x[3], x[4])
-            part.sweep(totals, number)
-        rows = []
-        for block, (words, known, at, _, _, p) in zip(blocks, asked, strict=True):
+                    x[6] += look_up_word(part, tables, customers3, x[3], x[4], look_up(part, m, p0, p1, p2, x[3], x[5]))
+            if number < len(history) - 1:
+                part.sweep(totals, number, tables)
+        out = []
+        for (block, _), (words, known, at, _, _, _, p) in zip(shares, asked, strict=True):
             c = np.zeros(len(known), np.int64)
             c[known] = count0[at[known]]
-            rows.append((block, key[0].as_py(), [], pack(c[words], np.log10(p / AVERAGED).astype(np.float32))))
-        return pa.Table.from_batches([_batch(rows)])
+            out.append((block, key[0].as_py(), [], pack(c[words], np.log10(p / AVERAGED).astype(np.float32))))
+        return pa.Table.from_batches([_batch(out)])
 
     return run
 
 
+def look_up_word(part: Part, tables3, customers3, word, context, parent):
+    """Probabilities of pairs of a word (-1 an unknown one) and a place in the part's contexts, with or without
+    customers, given those of the contexts' classes and the tables and customers of all contexts over all parts."""
+    keys = np.where(word >= 0, word * len(part.contexts) + context, -1)
+    own = np.zeros(len(keys))
+    if len(part.pairs3):
+        at = np.minimum(np.searchsorted(part.pairs3, keys), len(part.pairs3) - 1)
+        own = np.where(part.pairs3[at] == keys, np.maximum(part.c3 - DISCOUNT[3] * part.t3, 0)[at], 0.0)
+    return (own + (STRENGTH[3] + DISCOUNT[3] * tables3[context]) * parent) / (STRENGTH[3] + customers3[context])
+
+
 def look_up(part: Part, m: Totals, p0, p1, p2, word, u2):
     """Probabilities of pairs, with or without customers; word -1 is an unknown one."""
 
@@ -348,15 +441,25 @@ def score(docs: DataFrame, held_out_fold: int = 1, of: int = 5) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), fold("doc_id", of) != held_out_fold, "text")
     blocks, _ = scratch.cut(rows.mapInArrow(_blocks(parts), _PACKED))
     shares = blocks.where("part >= 0")
-    merged, path = scratch.cut(shares.groupBy("part").applyInArrow(_merge, _PACKED))
+    kind = F.col("docs")[0]
+    made, first = scratch.cut(shares.groupBy("part").applyInArrow(_merge(parts), _PACKED))
+    owned, _ = scratch.cut(made.where(kind == ASKED).groupBy("part").applyInArrow(_own, _PACKED))
+    summed = owned.where(kind == SUMMED)
     history: list[np.ndarray] = []
-    for _ in range(BURN + AVERAGED):
-        found = merged.mapInArrow(_sweep(context.broadcast(list(history))), "slot int, totals array<double>").groupBy("slot").applyInArrow(_sum, "slot int, totals array<double>")
+    swept = made
+    for number in range(BURN + AVERAGED):
+        if number:
+            swept, path = scratch.cut(made.where(kind == STATIC).unionByName(summed).groupBy("part").applyInArrow(_sweep(context.broadcast(list(history))), _PACKED))
+        found = swept.where(kind == TOTALS).groupBy("part").applyInArrow(_sum, "slot int, totals array<double>")
         rows = sorted(found.collect())  # at most SLOTS rows of N_TOTALS numbers
         history.append(np.sum([r["totals"] for r in rows], axis=0) if rows else np.zeros(N_TOTALS))
-    scratch.drop(path)
-    tokens, words = float(history[0][:U2].sum()), float(history[0][-1])
-    answers = shares.groupBy("part").applyInArrow(_answer(context.broadcast(history)), _PACKED)
+        if number:
+            again = owned.where(kind == INDEX).unionByName(swept.where(kind == ASKED))
+            summed = summed.unionByName(scratch.cut(again.groupBy("part").applyInArrow(_own_again(number), _PACKED))[0])
+            scratch.drop(path)
+    scratch.drop(first)
+    tokens, words = float(history[0][-1]), float(history[0][-2])
+    answers = shares.unionByName(summed).groupBy("part").applyInArrow(_answer(context.broadcast(history)), _PACKED)
     schema = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     out = blocks.where("part < 0").unionByName(answers).groupBy("block").applyInArrow(_add_up(context.broadcast((tokens, words))), schema)
     return out.withColumn("held_out", fold("doc_id", of) == held_out_fold).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

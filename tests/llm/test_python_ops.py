@@ -351,6 +351,46 @@ def test_probabilities_add_up_to_one():
         assert p.sum() == pytest.approx(1.0)
 
 
+def test_contexts_are_whole_words(spark):
+    """baking and making have one class, so only their own restaurants can tell what follows them."""
+    assert pitman_yor.context_class(b"baking") == pitman_yor.context_class(b"making")
+    ids = [[i for i in range(400) if (zlib.crc32(str(i).encode()) % 5 == 1) == held] for held in (False, True)]
+    rows = [(i, "making bread now baking cars now" if i % 2 else "baking cars now making bread now") for i in ids[0][:200]]
+    asked = ["making bread now", "making cars now", "baking cars now", "baking bread now"]
+    docs = spark.createDataFrame(rows + list(zip(ids[1], asked, strict=False)), "doc_id long, text string")
+    got = {r["text"]: r["score"] for r in pitman_yor.score(docs).join(docs, "doc_id").where("held_out").collect()}
+    assert got["making bread now"] > got["making cars now"] + 1 and got["baking cars now"] > got["baking bread now"] + 1
+
+
+def test_word_contexts_add_up_to_one_over_parts():
+    """Totals of contexts whose words lie in several parts are those of all parts, as the owners' sums give them."""
+    words = "a b c d the of be me".split()
+    texts = [(i, True, "a b a c d the the of a b be me " * (i + 1)) for i in range(5)]
+    texts += [(9, False, " ".join(f"{x} {y}" for x in words for y in words)), *((9, False, x) for x in words), (9, False, "")]
+    parts = [pitman_yor.Part.merged(r[1], [r[3]]) for r in pitman_yor.block_rows(0, texts, 3) if r[1] >= 0]
+    assert len(parts) == 3 and sum(p.n_words for p in parts) == len(words) + 1
+    at = [np.searchsorted(np.unique(np.concatenate([p.contexts for p in parts])), p.contexts) for p in parts]
+
+    def summed(found):
+        total = np.bincount(np.concatenate(at), np.concatenate(found))
+        return [total[x] for x in at]
+
+    for number in range(2):
+        totals, tables = sum(p.totals() for p in parts), summed([p.by_context(p.t3) for p in parts])
+        for p, t in zip(parts, tables, strict=True):
+            p.sweep(totals, number, t)
+    totals, tables, customers = sum(p.totals() for p in parts), summed([p.by_context(p.t3) for p in parts]), summed([p.by_context(p.c3) for p in parts])
+    assert totals[-1] == sum(len(t.split()) + 1 for _, train, t in texts if train)
+    m, got = pitman_yor.Totals(totals), Counter()
+    for k, (p, t, c) in enumerate(zip(parts, tables, customers, strict=True)):
+        asked = np.array([*range(p.n_words), *([-1] if k == 0 else [])])
+        for x, h in enumerate(p.contexts.tolist()):
+            p2 = pitman_yor.look_up(p, m, *p.predictive(totals), asked, np.full(len(asked), p.classes[x]))
+            got[h] += pitman_yor.look_up_word(p, t, c, asked, np.full(len(asked), x), p2).sum()
+    everywhere = set.intersection(*(set(p.contexts.tolist()) for p in parts))
+    assert len(everywhere) >= len(words) and all(got[h] == pytest.approx(1.0) for h in everywhere)
+
+
 def test_seating_keeps_its_bounds():
     rng = np.random.default_rng(1)
     c = np.array([0, 1, 2, 50, 5000, 3_000_000])
