@@ -186,6 +186,19 @@ def tracks(spark, sf_dir):
     return graph.tracks(m).groupBy("track", "conflict").agg(F.count("*").alias("n"))
 
 
+_EVERY_MATCH = "m AS (SELECT l_orderkey AS va, l_partkey AS ia, l_suppkey AS vb, l_linenumber + l_partkey AS ib FROM lineitem)"
+
+
+@query(f"""WITH RECURSIVE {_EVERY_MATCH}, e AS (SELECT va * 4294967296 + ia AS a, vb * 4294967296 + ib AS b FROM m), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+c AS (SELECT a AS id, a AS root FROM u UNION SELECT u.b, c.root FROM c JOIN u ON u.a = c.id AND c.root < u.b), g AS (SELECT id, min(root) AS track FROM c GROUP BY id),
+n AS (SELECT track, count(*) AS n, count(DISTINCT id // 4294967296) AS v FROM g GROUP BY track) SELECT track, n, n <> v AS conflict FROM n WHERE n >= 2""")
+def tracks_whole(spark, sf_dir):
+    """`tracks` over every row and with the keys themselves as views and items."""
+    x = t(spark, sf_dir, "lineitem")
+    m = x.select(F.col("l_orderkey").alias("view_a"), F.col("l_partkey").alias("item_a"), F.col("l_suppkey").alias("view_b"), (F.col("l_linenumber") + F.col("l_partkey")).alias("item_b"))
+    return graph.tracks(m).groupBy("track", "conflict").agg(F.count("*").alias("n"))
+
+
 @query(f"""WITH RECURSIVE {P}, {_REACH.format(d=_NEAR, r=0.08)}, c AS (SELECT pid AS id, pid AS seed, 0 AS d FROM p WHERE pid IN (SELECT min(pid) FROM p GROUP BY label) UNION SELECT e.b, c.seed, c.d + 1 FROM c JOIN e ON e.a = c.id WHERE c.d < 6)
 SELECT id, CAST(min(d) AS DOUBLE) AS distance, arg_min(seed, d * 1000000 + seed) AS seed FROM c GROUP BY id""")
 def breadth_first(spark, sf_dir):
