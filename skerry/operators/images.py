@@ -72,9 +72,20 @@ def best_of_blocks(df: DataFrame, block: int) -> DataFrame:
     return out
 
 
-def squared_distances(df: DataFrame, most: int) -> DataFrame:
-    """img, i, j, d2: exact squared distance of each cell to the nearest set one (v > 0), up to `most` cells: two axis passes,
-    each a grouped minimum, as in separable transforms."""
+def squared_distances(df: DataFrame, most: int | None = None) -> DataFrame:
+    """img, i, j, d2: exact squared distance of each cell to the nearest set one (v > 0), up to `most` cells if given: two
+    axis passes, each a grouped minimum, as in separable transforms. Without `most` the first pass looks both ways along
+    each column of the rows there are, and the second compares a row's cells with its columns. Images without a set cell
+    give no rows."""
+    if most is None:
+        grid = df.select("img", "i").distinct().join(df.where("v > 0").select("img", "j").distinct(), "img")
+        on = df.where("v > 0").select(*KEY, F.col("i").alias("at"))
+        way = Window.partitionBy("img", "j").orderBy("i")
+        before = F.last("at", True).over(way.rowsBetween(Window.unboundedPreceding, 0))
+        after = F.first("at", True).over(way.rowsBetween(0, Window.unboundedFollowing))
+        first = grid.join(on, KEY, "left").select(*KEY, F.least(F.col("i") - before, after - F.col("i")).cast("long").alias("g"))
+        cols = first.select("img", "i", F.col("j").alias("k"), (F.col("g") * F.col("g")).alias("d2"))
+        return df.select(*KEY).join(cols, ["img", "i"]).groupBy(*KEY).agg(F.min(F.col("d2") + (F.col("j") - F.col("k")) * (F.col("j") - F.col("k"))).alias("d2"))
     span = F.sequence(F.lit(-most), F.lit(most))
     rows = df.where("v > 0").select("img", "i", "j", F.explode(span).alias("s"))
     first = rows.groupBy("img", (F.col("i") + F.col("s")).alias("i"), "j").agg(F.min(F.col("s") * F.col("s")).alias("d2"))
@@ -83,18 +94,23 @@ def squared_distances(df: DataFrame, most: int) -> DataFrame:
     return df.select(*KEY).join(both, KEY).where(F.col("d2") <= most * most)
 
 
-def chamfer_distances(df: DataFrame, most: int) -> DataFrame:
-    """img, i, j, steps: city-block distance to the nearest set cell by rounds of growth."""
+def chamfer_distances(df: DataFrame, most: int | None = None) -> DataFrame:
+    """img, i, j, steps: city-block distance to the nearest set cell by rounds of growth, until no cell is reached any more
+    or for `most` rounds."""
     scratch = Scratch(df.sparkSession)
     cells, _ = scratch.cut(df.select(*KEY))
-    done, _ = scratch.cut(df.where("v > 0").select(*KEY, F.lit(0).alias("steps")))
-    front = done
-    for k in range(1, most + 1):
+    done, path = scratch.cut(df.where("v > 0").select(*KEY, F.lit(0).alias("steps")))
+    front, k = done, 0
+    while most is None or k < most:
+        k += 1
         grown = scattered(front.select(*KEY, F.lit(1).alias("v")), cross=True).select(*KEY).distinct()
         front, _ = scratch.cut(grown.join(cells, KEY, "left_semi").join(done, KEY, "left_anti").withColumn("steps", F.lit(k)))
         if not front.limit(1).count():
             break
-        done, _ = scratch.cut(done.unionByName(front))
+        old = path
+        done, path = scratch.cut(done.unionByName(front))
+        if k > 1:
+            scratch.drop(old)
     return done
 
 

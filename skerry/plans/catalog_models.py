@@ -206,6 +206,13 @@ def breadth_first(spark, sf_dir):
     return graph.search(_near_edges(spark, sf_dir, 0.08), seeds, most=6).select("id", "distance", "seed")
 
 
+@query()
+def breadth_first_whole(spark, sf_dir):
+    """`breadth_first` until no node is reached any more."""
+    seeds = points(spark, sf_dir).groupBy("label").agg(F.min("pid").alias("id")).select("id")
+    return graph.search(_near_edges(spark, sf_dir, 0.08), seeds).select("id", "distance", "seed")
+
+
 @query("""WITH a AS (SELECT l_suppkey AS i, l_partkey % 200 AS k, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2), b AS (SELECT p_partkey % 200 AS k, p_size AS j, count(*)::DOUBLE AS w FROM part GROUP BY 1, 2)
 SELECT i, j, round(sum(v * w), 4) AS v FROM a JOIN b USING (k) GROUP BY 1, 2""")
 def sparse_matmul(spark, sf_dir):
@@ -427,6 +434,13 @@ def raster_distance(spark, sf_dir):
     return images.squared_distances(m, 4).select("i", "j", F.col("d2").cast("long").alias("d2"))
 
 
+@query(f"WITH {_IMAGE} SELECT a.i, a.j, CAST(min((a.i - b.i) * (a.i - b.i) + (a.j - b.j) * (a.j - b.j)) AS BIGINT) AS d2 FROM m a JOIN m b ON b.v > 150 GROUP BY 1, 2")
+def raster_distance_whole(spark, sf_dir):
+    """`raster_distance` however far the nearest set cell is."""
+    m = _image(spark, sf_dir).withColumn("v", F.when(F.col("v") > 150, 1).otherwise(0))
+    return images.squared_distances(m).select("i", "j", F.col("d2").cast("long").alias("d2"))
+
+
 @query(f"""WITH {_IMAGE}, b AS (SELECT i // 8 AS bi, j // 8 AS bj, i, j, v, row_number() OVER (PARTITION BY i // 8, j // 8 ORDER BY v DESC, i, j) AS r FROM m) SELECT i, j, v FROM b WHERE r = 1""")
 def raster_block_best(spark, sf_dir):
     return images.best_of_blocks(_image(spark, sf_dir), 8).where("level = 0").select("i", "j", "v")
@@ -440,7 +454,7 @@ def raster_components(spark, sf_dir):
 @query()
 def raster_chamfer(spark, sf_dir):
     m = _image(spark, sf_dir).withColumn("v", F.when(F.col("v") > 250, 1).otherwise(0))
-    return images.chamfer_distances(m, 5)
+    return images.chamfer_distances(m)
 
 
 @query(f"""WITH {P}, s AS (SELECT pid, floor(degrees(atan2(y, x)) / 10) AS i, floor(degrees(asin(z / sqrt(x*x+y*y+z*z))) / 10) AS j, sqrt(x*x+y*y+z*z) AS d FROM p) SELECT pid FROM (SELECT pid, row_number() OVER (PARTITION BY i, j ORDER BY d, pid) AS r FROM s) WHERE r = 1""")

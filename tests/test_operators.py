@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skerry.operators import aggregates, fields, filters, fitting, graph, images, mesh, records, sets, spatial, windows
-from skerry.plans import catalog_models
+from skerry.plans import catalog, catalog_models
 
 
 def cloud(spark, pts):
@@ -279,3 +279,52 @@ def test_tracks_take_every_match(spark):
     got = catalog_models.tracks_whole(spark, sf).collect()
     assert sorted((r["track"], r["conflict"], r["n"]) for r in got) == want
     assert sum(r["n"] for r in got) == len({(o, p) for o, p, _, _ in rows} | {(s, n + p) for _, p, s, n in rows})
+
+
+def test_distances_reach_the_whole_image(spark):
+    rng = random.Random(8)
+    cells = {(i, j) for i in range(30) for j in range(12) if rng.random() < 0.7} | {(i, 0) for i in range(30)}
+    on = {(0, 0), min(c for c in cells if c[1] > 8)}
+    m = spark.createDataFrame([(0, i, j, int((i, j) in on)) for i, j in cells] + [(1, 3, 3, 0)], "img int, i long, j long, v int")
+    got = {(r["img"], r["i"], r["j"]): r["d2"] for r in images.squared_distances(m).collect()}
+    assert got == {(0, i, j): min((i - a) ** 2 + (j - b) ** 2 for a, b in on) for i, j in cells} and max(got.values()) > 400
+    steps, front = dict.fromkeys(on, 0), on
+    while front:
+        front = {c for i, j in front for c in ((i + 1, j), (i - 1, j), (i, j + 1), (i, j - 1)) if c in cells and c not in steps}
+        steps |= dict.fromkeys(front, max(steps.values()) + 1)
+    got = {(r["i"], r["j"]): r["steps"] for r in images.chamfer_distances(m).collect()}
+    assert got == steps and max(steps.values()) > 5
+
+
+def test_chamfer_query_reaches_all_connected_cells(spark):
+    sf = "/root/testdata/sf0.001"
+    value = {}
+    for u, e, v in spark.read.parquet(f"{sf}/events.parquet").select("user_id", "event_id", "value").collect():
+        value[u, e % 40] = max(v, value.get((u, e % 40), v))
+    steps = front = {c: 0 for c, v in value.items() if v > 250}
+    while front:
+        front = {c: s + 1 for (i, j), s in front.items() for c in ((i + 1, j), (i - 1, j), (i, j + 1), (i, j - 1)) if c in value and c not in steps}
+        steps = steps | front
+    assert {(r["i"], r["j"]): r["steps"] for r in catalog_models.raster_chamfer(spark, sf).collect()} == steps and max(steps.values()) > 5
+
+
+def test_search_query_goes_to_the_end(spark):
+    """The last round of the whole search finds nothing nearer: no edge leads out of what it reached, or makes it shorter."""
+    sf = "/root/testdata/sf0.001"
+    x = {r["pid"]: r for r in catalog.points(spark, sf).collect()}
+    edges = [(r["a"], r["b"]) for r in catalog_models._near_edges(spark, sf, 0.08).select("a", "b").collect()]
+    near = {k: set() for k in x}
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    best = {min(k for k in x if x[k]["label"] == c): None for c in {r["label"] for r in x.values()}}
+    best = {k: (0, k) for k in best}
+    front = set(best)
+    while front:
+        step = {}
+        for a in front:
+            for b in near[a]:
+                step[b] = min(step.get(b, (math.inf, 0)), (best[a][0] + 1, best[a][1]))
+        front = {b for b, v in step.items() if v < best.get(b, (math.inf, 0))}
+        best |= {b: step[b] for b in front}
+    assert {r["id"]: (r["distance"], r["seed"]) for r in catalog_models.breadth_first_whole(spark, sf).collect()} == best
