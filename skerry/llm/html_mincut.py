@@ -1,16 +1,19 @@
 """Main-text extraction from raw HTML by minimum-cut labelling of text blocks.
 
 A tolerant reader cuts the page into blocks: runs of text between block-level tags, with the element they stand in. A
-linear classifier turns what is known of a block (the markers of its ancestors, words, share of link text, punctuation,
-tag) into log-odds; their size is the capacity of its edge to the content terminal or to the boilerplate terminal.
-Smoothness edges join blocks that follow each other, and blocks to the next one of the same parent, the heavier the
-nearer their elements stand in the tree. The minimum cut is the labelling of least cost. Blocks whose own cost
-outweighs all their edges are settled first, which is exact, and maximum flow (Dinic) runs on what is left.
+linear classifier scores each block by its text (words, share of link text, punctuation, tag; squashed to `TEXT_CAP`) and
+by the markers of its ancestors (`MARK` at most). The score is the capacity of the block's edge to the content terminal
+or, if negative, to the boilerplate terminal. Smoothness edges join blocks that follow each other, and blocks to the one
+before of the same parent and of the same grandparent; they are the heavier the fewer steps lie between the elements in
+the tree, and light where a marked element begins or ends between them. Text alone weighs less than the edges of a block
+among its like, so a short line between paragraphs goes with them and a wordy teaser among links goes with those.
+Maximum flow (Dinic) runs on every page; the side of the content terminal is the main text.
 
 Defined cases: a null or empty page, or one without content, gives an empty text. Every row gives one row. Character
-references are decoded once; Unicode white space, line breaks (`br`) too, becomes one blank; blocks are joined by one
-newline in page order. Broken markup never fails: an unknown end tag is passed over, an open one ends with its parent,
-and a `<` that starts no tag is text.
+references are decoded once, each stretch between tags for itself; Unicode white space, line breaks (`br`) too, becomes
+one blank; blocks are joined by one newline in page order. Broken markup never fails: an unknown end tag is passed over,
+an open one ends with its parent, and a `<` that starts no tag is text. Reading takes time in proportion to the page,
+however its tags are nested or left open.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 # Elements of HTML by their role in a page.
 RAW = frozenset("script style textarea title xmp".split())
-DROPPED = frozenset("head script style textarea title xmp noscript template svg math iframe object canvas audio video select option button datalist form fieldset label input meter progress dialog map".split())
+DROPPED = frozenset("head script style textarea title xmp noscript template iframe select option button datalist form fieldset label input meter progress dialog desc metadata".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     """address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset
@@ -41,7 +44,7 @@ ENDS_P = BLOCK - frozenset("body caption html legend optgroup option tbody td tf
 #: An element that ends an open one of the named kinds when it starts.
 ENDS = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",)}
 SCOPE = frozenset("table ul ol dl td th body article section div main nav aside header footer".split())
-AWAY_TAGS = {"nav": 9.0, "footer": 9.0, "aside": 9.0, "menu": 9.0, "header": 7.0}
+AWAY_TAGS = frozenset(("nav", "footer", "aside", "menu", "header"))
 HOME_TAGS = frozenset(("article", "main"))
 AWAY_NAMES = frozenset(
     """ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent copyright disqus footer
@@ -51,26 +54,30 @@ AWAY_NAMES = frozenset(
 HOME_NAMES = frozenset("article articlebody body content entry main post story text".split())
 AWAY_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar form".split())
 NOTICE = re.compile(r"©|\(c\)\s*\d{4}|copyright|all rights reserved|cookie|subscribe|sign in|log in|advertisement", re.IGNORECASE)
-NEAR, FAR = (2.0, 1.2, 0.5, 0.2), 0.1
+#: Most that markers and text say, what an article's own tag and its names say, weights of edges by steps in the tree, and the share left of them at a marked border.
+MARK, TEXT_CAP, HOME_TAG, HOME_NAME = 3.0, 2.0, 2.5, 1.5
+NEAR, FAR, BORDER = (2.0, 2.0, 2.0, 1.2, 0.5, 0.3), 0.1, 0.15
 
 
 class Element:
-    """An open element: its tag, the log-odds its markers give to text inside, and its place in the tree."""
+    """An open element: its tag, what its markers say of text inside, and its place in the tree."""
 
-    __slots__ = ("tag", "odds", "dropped", "link", "parent", "depth")
+    __slots__ = ("tag", "mark", "border", "dropped", "link", "parent", "home", "depth")
 
     def __init__(self, tag: str, parent: Element | None, attributes: str):
         self.tag, self.parent = tag, parent
+        self.home = parent.home if parent and tag not in BLOCK else self  # the nearest block-level element
         self.depth = parent.depth + 1 if parent else 0
-        self.odds = parent.odds if parent else 0.0
+        self.mark = parent.mark if parent else 0.0
         self.link = tag == "a" or bool(parent and parent.link)
         self.dropped = tag in DROPPED or bool(parent and parent.dropped)
-        if tag in HOME_TAGS and self.odds > -4:
-            self.odds = 4.0
+        if tag in HOME_TAGS and self.mark > -MARK:
+            self.mark = HOME_TAG
         elif tag in AWAY_TAGS:
-            self.odds = -1.0 if tag == "header" and parent and parent.odds >= 4 else -AWAY_TAGS[tag]
+            self.mark = -0.5 if tag == "header" and parent and parent.mark >= HOME_TAG else -MARK
         if attributes and not self.dropped and tag not in ("body", "html"):
             self._marked(attributes)
+        self.border = self.mark != (parent.mark if parent else 0.0) or tag in HOME_TAGS
 
     def _marked(self, attributes: str) -> None:
         for name, value in ATTRIBUTE.findall(attributes):
@@ -78,13 +85,14 @@ class Element:
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 self.dropped = True
             elif name == "role":
-                self.odds = -9.0 if value.lower() in AWAY_ROLES else max(self.odds, 4.0) if value.lower() in ("main", "article") else self.odds
+                self.mark = -MARK if value.lower() in AWAY_ROLES else HOME_TAG if value.lower() in ("main", "article") and self.mark > -MARK else self.mark
             elif name in ("class", "id", "itemprop"):
                 names = {n.lower() for n in NAME.findall(value)}
-                if names & AWAY_NAMES and not (names & HOME_NAMES and self.tag in HOME_TAGS):
-                    self.odds = min(self.odds, -7.0)
-                elif names & HOME_NAMES or value.lower() == "articlebody":
-                    self.odds = max(self.odds, 2.5) if self.odds > -4 else self.odds
+                away, home = names & AWAY_NAMES, names & HOME_NAMES or value.lower() == "articlebody"
+                if away and not (home and self.tag in HOME_TAGS):
+                    self.mark = -MARK
+                elif home and not away and self.mark > -MARK:
+                    self.mark = max(self.mark, HOME_NAME)
 
 
 class Block:
@@ -100,38 +108,40 @@ def blocks_of(page: str) -> list[Block]:
     parts: list[str] = []
     linked = 0
     now = Element("#page", None, "")
-    home = now  # the block-level element that the running text stands in
+    open_: dict[str, list[Element]] = {}  # open elements by tag, the deepest last
 
     def close() -> None:
         nonlocal linked
         if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, min(linked, len(text)), home))
+                out.append(Block(text, min(linked, len(text)), now.home))
             parts.clear()
         linked = 0
 
-    def leave(tags, stop) -> None:
-        """End the nearest open element of `tags`, unless one of `stop` stands before it."""
-        nonlocal now, home
-        e = now
-        while e.parent is not None:
-            if e.tag in tags:
-                close()
-                now = home = e.parent
-                while home.parent is not None and home.tag not in BLOCK:
-                    home = home.parent
-                return
-            if e.tag in stop:
-                return
-            e = e.parent
+    def deepest(tags) -> int:
+        return max((open_[t][-1].depth for t in tags if open_.get(t)), default=0)
+
+    def leave(depth: int) -> None:
+        """End all open elements down to that depth."""
+        nonlocal now
+        while now.depth >= depth:
+            open_[now.tag].pop()
+            now = now.parent
+
+    def leave_block(tags, stop) -> None:
+        """End the nearest open element of `tags`, unless one of `stop` stands inside it."""
+        depth = deepest(tags)
+        if depth and depth >= deepest(stop):
+            close()
+            leave(depth)
 
     at, size = 0, len(page)
     while at < size:
         m = TAG.search(page, at)
         end = m.start() if m else size
         if end > at and not now.dropped:
-            piece = page[at:end]
+            piece = html.unescape(page[at:end])
             parts.append(piece)
             if now.link:
                 linked += len(piece.strip())
@@ -143,13 +153,9 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if m[1]:
             if tag in BLOCK:
-                leave((tag,), ())
-            else:
-                e = now
-                while e.parent is not None and e.tag != tag and e.tag not in BLOCK:
-                    e = e.parent
-                if e.tag == tag and e.parent is not None:
-                    now = e.parent
+                leave_block((tag,), ())
+            elif (depth := deepest((tag,))) > now.home.depth:
+                leave(depth)
             continue
         if tag in VOID:
             if tag == "br":
@@ -158,99 +164,76 @@ def blocks_of(page: str) -> list[Block]:
                 close()
             continue
         if tag in ENDS_P:
-            leave(("p",), SCOPE)
+            leave_block(("p",), SCOPE)
         if tag in ENDS:
-            leave(ENDS[tag], SCOPE - frozenset(ENDS[tag]))
+            leave_block(ENDS[tag], SCOPE - frozenset(ENDS[tag]))
         if tag in BLOCK:
             close()
         if m[3].endswith("/") and tag not in BLOCK and tag not in RAW and tag != "a":
             continue
-        now = Element(tag, now, m[3])
-        if tag in BLOCK:
-            home = now
         if tag in RAW:
             found = re.compile(rf"</{tag}\b[^>]*>?", re.IGNORECASE).search(page, at)
             at = found.end() if found else size
-            now = now.parent
+            continue
+        now = Element(tag, now, m[3])
+        open_.setdefault(tag, []).append(now)
     close()
     return out
 
 
-def log_odds(b: Block) -> float:
-    """The classifier: above 0 for content."""
-    n = b.text.count(" ") + 1
-    tag, last = b.element.tag, b.text[-1]
-    x = b.element.odds - 1.0 + min(3.0, math.log2(1 + n / 8)) - 4.0 * b.linked / len(b.text)
+def text_score(b: Block) -> float:
+    """What a block's text says, above 0 for content."""
+    n, tag = b.text.count(" ") + 1, b.element.tag
+    links = b.linked / len(b.text)
+    x = -0.4 + min(3.0, math.log2(1 + n / 8)) - 4.0 * links
     if tag in ("p", "blockquote", "pre"):
-        x += 1.0
+        x += 0.7
     elif tag in ("h1", "h2", "h3", "h4", "h5", "h6", "figcaption"):
-        x += 0.5
-    elif tag in ("li", "td", "th", "dd", "dt"):
-        x -= 0.5
-    if last in ".!?…\"'»”:":
+        x += 0.3
+    if b.text[-1] in ".!?…\"'»”:":
         x += 0.5
     if n < 40 and NOTICE.search(b.text):
-        x -= 2.0
-    return x
+        x -= 2.5
+    return TEXT_CAP * math.tanh(x / TEXT_CAP)
+
+
+def log_odds(b: Block) -> float:
+    """The classifier: above 0 for content, at most MARK + TEXT_CAP either way."""
+    return b.element.mark + text_score(b)
 
 
 def nearness(a: Element, b: Element) -> float:
-    """Weight of a smoothness edge by the steps between two elements in the tree."""
-    steps = 0
+    """Weight of a smoothness edge by the steps between two elements in the tree and the marked borders on the way."""
+    steps, share = 0, 1.0
     while a is not b and steps < 2 * len(NEAR):
         if a.depth >= b.depth:
+            share = share * BORDER if a.border else share
             a = a.parent
         else:
+            share = share * BORDER if b.border else share
             b = b.parent
         steps += 1
-    return NEAR[steps // 2] if a is b and steps // 2 < len(NEAR) else FAR
+    return (NEAR[steps] if a is b and steps < len(NEAR) else FAR) * share
 
 
 def smoothness(found: list[Block]) -> list[tuple[int, int, float]]:
     edges, last = [], {}
     for i, b in enumerate(found):
-        if i:
-            edges.append((i - 1, i, nearness(found[i - 1].element, b.element)))
-        before = last.get(id(b.element.parent))
-        if before is not None and before < i - 1:
-            edges.append((before, i, NEAR[1]))
-        last[id(b.element.parent)] = i
+        joined = {i - 1} if i else set()
+        up = b.element.parent
+        for over in (up, up.parent if up else None):
+            before = last.get(id(over)) if over is not None else None
+            if before is not None:
+                joined.add(before)
+            last[id(over)] = i
+        edges += [(j, i, nearness(found[j].element, b.element)) for j in sorted(joined)]
     return edges
 
 
 def minimum_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """Labels (True: content) that minimise the odds given up plus the weights of edges with unlike ends."""
+    """Labels (True: content) that minimise the odds given up plus the weights of edges with unlike ends, by maximum flow
+    (Dinic) between a source, content, and a sink; of several such labellings the one with least content."""
     n = len(odds)
-    near: list[dict[int, float]] = [{} for _ in range(n)]
-    for a, b, w in edges:
-        near[a][b] = near[a].get(b, 0.0) + w
-        near[b][a] = near[b].get(a, 0.0) + w
-    own, label = list(odds), [None] * n
-    weight = [sum(x.values()) for x in near]
-    queue = [i for i in range(n) if abs(own[i]) >= weight[i]]
-    while queue:
-        i = queue.pop()
-        if label[i] is not None:
-            continue
-        label[i] = own[i] > 0
-        for j, w in near[i].items():
-            if label[j] is None:
-                own[j] += w if label[i] else -w
-                weight[j] -= w
-                if abs(own[j]) >= weight[j] - 1e-12:
-                    queue.append(j)
-    open_ = [i for i in range(n) if label[i] is None]
-    if open_:
-        place = {i: k for k, i in enumerate(open_)}
-        rest = [(place[i], place[j], w) for i in open_ for j, w in near[i].items() if i < j and label[j] is None]
-        for i, side in zip(open_, maximum_flow([own[i] for i in open_], rest), strict=True):
-            label[i] = side
-    return label
-
-
-def maximum_flow(own: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """Dinic's algorithm between a source (content) and a sink; the source side of the minimum cut is True."""
-    n = len(own)
     s, t = n, n + 1
     head: list[list[int]] = [[] for _ in range(n + 2)]
     to: list[int] = []
@@ -262,7 +245,7 @@ def maximum_flow(own: list[float], edges: list[tuple[int, int, float]]) -> list[
         to.extend((b, a))
         room.extend((forth, back))
 
-    for i, x in enumerate(own):
+    for i, x in enumerate(odds):
         join(s, i, x, 0.0) if x > 0 else join(i, t, -x, 0.0)
     for a, b, w in edges:
         join(a, b, w, w)
