@@ -1,10 +1,11 @@
 """Secret scans: base patterns, and Shannon entropy in sliding windows over candidate strings.
 
-A candidate is a run of at least `WINDOW` characters of base64 or URL-safe alphabets. It falls into classes by the
-characters it has; a window of `WINDOW` characters slides over it, the counts of characters are kept up to date as one
-leaves and one comes, and the entropy follows from a running sum of c*log2(c). Where a window's entropy reaches its
-class's limit the window is marked; marked windows that overlap become one span of kind `entropy`. Strings that the
-allow list names, and those that read as words, are never candidates.
+A run of base64 or URL-safe characters is cut at separators; pieces that the allow list names (words, placeholders) break
+it, and what stands between them is a candidate. It falls into a class by the characters it has; a window of the class's
+length slides over it, the counts of characters are kept up to date as one leaves and one comes, and the entropy follows
+from a running sum of c*log2(c); changes between small letters, capitals and digits are counted the same way, since names
+written in capitals and small letters change seldom. Where a window reaches its class's limits it is marked; marked
+windows that overlap become one span of kind `entropy`.
 
 Defined cases: a null text is an empty one and has no spans. Every row gives one row, repeated ids included. Positions
 are code points, ends are exclusive. Spans of kind `entropy` inside or across base spans are cut back to what the base
@@ -14,6 +15,7 @@ spans leave, and pieces under `WINDOW` characters go, since the base span marks
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
 
@@ -27,52 +29,80 @@ KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-WINDOW = 20
-CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{WINDOW},}}")
-#: Limits in bits by class; a window of 20 different characters has log2(20) = 4.32.
-LIMITS = {"hex": 2.9, "upper": 3.4, "mixed": 3.7}
-ALLOWED = tuple(
-    re.compile(p)
-    for p in (
-        r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",  # UUID
-        r"[0-9-]+",  # numbers, dates and phone numbers
-        r"(?i).*example.*",  # placeholders
-        r"(?i)(?:[a-z]+[-_/=+])*[a-z]+[0-9]{0,4}",  # words joined by marks, with at most a short number behind
-        r"(.)\1+",
-    )
-)
-_NLOGN = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 1)]
+LEAST = 16
+RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
+PIECE = re.compile(r"[A-Za-z0-9]+")
+#: By class: window, least entropy in bits (16 different characters have 4, 20 have 4.32), least changes in a window.
+CLASSES = {"hex": (20, 2.6, 3), "upper": (20, 3.4, 2), "mixed": (16, 3.4, 6), "letters": (20, 3.65, 6)}
+#: Allowed runs as a whole: UUIDs; numbers, dates and phone numbers; one character again and again.
+ALLOWED = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9+/_=-]+|(.)\1+")
+#: Allowed pieces between separators: a word of one case or with a capital, with a short number behind; placeholders.
+WORDLIKE = re.compile(r"(?:[A-Z]?[a-z]{3,}|[A-Z]{3,})[0-9]{0,4}|(?i:[a-z0-9]*example[a-z0-9]*)")
+_MOST = max(w for w, _, _ in CLASSES.values())
+_NLOGN = [0.0] + [n * math.log2(n) for n in range(1, _MOST + 1)]
 
 
 def kind_of(s: str) -> str | None:
-    """The class of a candidate; None for strings that can't be random keys: no digit, or a single kind of character."""
-    digit = any(c in "0123456789" for c in s)
+    """The class of a candidate; None for strings of a single kind of character."""
+    digit = any("0" <= c <= "9" for c in s)
     lower = any("a" <= c <= "z" for c in s)
     upper = any("A" <= c <= "Z" for c in s)
+    if lower and upper:
+        return "mixed" if digit else "letters"
     if not digit or not (lower or upper):
         return None
-    if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", s):
-        return "hex"
-    return "mixed" if lower and upper else "upper"
+    return "hex" if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", s) else "upper"
 
 
-def entropy_spans(s: str, limit: float, window: int = WINDOW) -> list[tuple[int, int]]:
-    """Unions of the windows whose entropy is `limit` or more."""
+def candidates(text: str):
+    """Start and text of each candidate."""
+    for run in RUN.finditer(text):
+        if ALLOWED.fullmatch(run[0]):
+            continue
+        start = run.start()
+        for piece in PIECE.finditer(text, run.start(), run.end()):
+            if WORDLIKE.fullmatch(piece[0]):
+                if piece.start() - start >= LEAST:
+                    yield _trimmed(text, start, piece.start())
+                start = piece.end()
+        if run.end() - start >= LEAST:
+            yield _trimmed(text, start, run.end())
+
+
+def _trimmed(text: str, a: int, b: int) -> tuple[int, str]:
+    """Separators in front belong to what stands before; behind, only the padding of base64 does to the key."""
+    while a < b and text[a] in "+/_=-":
+        a += 1
+    while b > a and text[b - 1] in "+/_-":
+        b -= 1
+    return a, text[a:b]
+
+
+def _sort(c: str) -> int:
+    return 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3
+
+
+def entropy_spans(s: str, limit: float, window: int = 20, changes: int = 0) -> list[tuple[int, int]]:
+    """Unions of the windows whose entropy is `limit` or more, with at least so many changes of the sort of character."""
     counts: dict[str, int] = {}
-    total, found = 0.0, []
+    total, changed, found = 0.0, 0, []
+    sorts = [_sort(c) for c in s]
     for i, c in enumerate(s):
         n = counts.get(c, 0)
         counts[c] = n + 1
         total += _NLOGN[n + 1] - _NLOGN[n]
-        if i >= window - 1:
-            if math.log2(window) - total / window >= limit:
-                if found and found[-1][1] >= i - window + 1:
+        changed += i > 0 and sorts[i] != sorts[i - 1]
+        first = i - window + 1
+        if first >= 0:
+            if changed >= changes and math.log2(window) - total / window >= limit:
+                if found and found[-1][1] >= first:
                     found[-1] = (found[-1][0], i + 1)
                 else:
-                    found.append((i - window + 1, i + 1))
-            n = counts[out := s[i - window + 1]]
+                    found.append((first, i + 1))
+            n = counts[out := s[first]]
             counts[out] = n - 1
             total -= _NLOGN[n] - _NLOGN[n - 1]
+            changed -= i > first and sorts[first + 1] != sorts[first]
     return found
 
 
@@ -86,24 +116,39 @@ def secret_spans(text: str) -> tuple[list, list]:
     """Base spans, and all spans, each sorted by start and then by kind."""
     order = lambda x: (x[1], KINDS.index(x[0]), x[2])
     base = sorted(base_spans(text), key=order)
-    more = []
-    for m in CANDIDATE.finditer(text):
-        s = m[0]
+    taken = _union(base)
+    more, at = [], 0
+    for start, s in candidates(text):
         kind = kind_of(s)
-        if kind is None or any(p.fullmatch(s) for p in ALLOWED):
+        if kind is None:
             continue
-        for a, b in entropy_spans(s, LIMITS[kind]):
-            a, b = a + m.start(), b + m.start()
-            for _, c, d in base:
-                if c < b and d > a:
-                    if c - a >= WINDOW:
+        window, limit, changes = CLASSES[kind]
+        while at < len(taken) and taken[at][1] <= start:  # candidates come in order, so this pointer only goes forward
+            at += 1
+        for a, b in entropy_spans(s, limit, window, changes):
+            a, b = a + start, b + start
+            for c, d in itertools.islice(taken, at, None):
+                if c >= b:
+                    break
+                if d > a:
+                    if c - a >= window:
                         more.append(("entropy", a, c))
                     a = max(a, d)
-            if b - a >= WINDOW:
+            if b - a >= window:
                 more.append(("entropy", a, b))
     return base, sorted(base + more, key=order)
 
 
+def _union(spans) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for _, a, b in spans:
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
 def redact(text: str, spans: list[tuple[str, int, int]], mark: str = "[SECRET]") -> str:
     """The text with each group of overlapping spans replaced by one mark."""
     out, at = [], 0
