@@ -15,6 +15,7 @@ Special tokens' strings are ordinary text.
 
 from __future__ import annotations
 
+import array
 import base64
 import functools
 import hashlib
@@ -27,9 +28,9 @@ from pyspark.sql import types as T
 
 from .texts import map_rows
 
-#: Pieces and moves kept before they are dropped and found anew; this bounds memory (to 0.5 GB and 0.35 GB a worker), not results.
-KEPT, KEPT_LESS = (800_000, 700_000), (240_000, 400_000)
-KEPT_FITS = 200_000
+#: Pieces and moves kept before they are dropped and found anew; this bounds memory (to 0.4 GB and 0.15 GB a worker), not results.
+KEPT, KEPT_LESS = (800_000, 700_000), (60_000, 400_000)
+KEPT_FITS = 100_000
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -82,7 +83,7 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
-        start = (((), -1, 0),)
+        start = self._packed([((), -1, 0)])
         self.states, self.index = [start], {start: 0}
         self.moves: dict[int, int] = {}  # state * 256 + byte -> state, or its complement if output is written
         self.written: dict[int, tuple[int, ...]] = {}
@@ -126,9 +127,22 @@ class Transducer:
                         return False
         return True
 
+    @staticmethod
+    def _packed(hypotheses) -> bytes:
+        """A state in 4 bytes a number: for each hypothesis how many tokens wait, these, the last token, the trie node."""
+        return array.array("i", [x for waiting, last, node in hypotheses for x in (len(waiting), *waiting, last, node)]).tobytes()
+
+    @staticmethod
+    def _unpacked(state: bytes):
+        numbers, at = array.array("i", state).tolist(), 0
+        while at < len(numbers):
+            end = at + 1 + numbers[at]
+            yield tuple(numbers[at + 1 : end]), numbers[end], numbers[end + 1]
+            at = end + 2
+
     def _move(self, state: int, b: int) -> int:
         live = []
-        for waiting, last, node in self.states[state]:
+        for waiting, last, node in self._unpacked(self.states[state]):
             child = self.go.get(node * 256 + b)
             if child is None:
                 continue
@@ -141,12 +155,13 @@ class Transducer:
         k = 0
         while k < same and all(w[k] == first[k] for w, _, _ in live):
             k += 1
-        then = tuple(sorted((w[k:], last, node) for w, last, node in live)) if len(live) > 1 else ((live[0][0][k:], *live[0][1:]),)
+        rests = sorted((w[k:], last, node) for w, last, node in live)
+        then = self._packed(rests)
         at = self.index.get(then)
         if at is None:
             at = self.index[then] = len(self.states)
             self.states.append(then)
-            rest = next((w for w, _, node in then if node == 0), ())
+            rest = next((w for w, _, node in rests if node == 0), ())
             if rest:
                 self.finals[at] = rest
         key = state << 8 | b

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .cells import FOUND, classes_linked, count_links, groups, in_buckets, into_cells, lists, shared_before
 from .common import Scratch, small
+from .texts import small_batches
 
 WORDS, LEAST = 5, 0.8
 RUNS, BRANCHES, DEPTH, SMALL, VALUES, ALIKE = 6, 2, 3, 256, 32, 0.5
@@ -187,6 +188,7 @@ def overlaps(values: np.ndarray, sizes: np.ndarray, columns: int = 4096) -> np.n
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, class_id (the smallest id linked with it, directly or not), n_links (other documents
     linked with it directly, copies included), kept (it is the one of that id)."""
+    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     seen, _ = scratch.cut(rows.mapInArrow(_described, "doc_id long, high long, low long, size long, values array<long>"))

@@ -5,17 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows turned into Python objects at once; it bounds the memory of a task, whatever the size of an Arrow batch.
 ROWS = 128
+#: Rows of an Arrow batch of whole texts: executors hold a batch, and its copy while it grows, outside the heap for each task.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to `BATCH_ROWS`; a smaller one stays. Results don't depend on it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
 
 
 def map_rows(df: DataFrame, keep: list[str], inputs: list[str], work: Callable[[], Callable[..., Iterable]], out: list[tuple[str, T.DataType]]) -> DataFrame:
     """Columns `keep` as they are, and `out` from work()(*inputs) for each row. `work` runs once a task and gives the row function."""
+    small_batches(df.sparkSession)
     held = [f"k{i}" for i in range(len(keep))]
     given = [f"x{i}" for i in range(len(inputs))]
     source = df.select(*[F.col(c).alias(h) for c, h in zip(keep, held, strict=True)], *[F.col(c).alias(g) for c, g in zip(inputs, given, strict=True)])
@@ -23,7 +33,7 @@ def map_rows(df: DataFrame, keep: list[str], inputs: list[str], work: Callable[[
     schema = T.StructType(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = work()
+        row, pool = work(), pa.default_memory_pool()
         arrow = to_arrow_schema(schema)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
@@ -32,6 +42,7 @@ def map_rows(df: DataFrame, keep: list[str], inputs: list[str], work: Callable[[
                 rows = [row(*values) for values in zip(*(piece.column(g).to_pylist() for g in given), strict=True)]
                 columns += [pa.array(values, f.type) for values, f in zip(zip(*rows, strict=True), list(arrow)[len(held) :], strict=True)]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+            pool.release_unused()
 
     result = source.mapInArrow(run, schema)
     return result.select(*[F.col(h).alias(c) for c, h in zip(keep, held, strict=True)], *[n for n, _ in out])

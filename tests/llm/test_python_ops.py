@@ -128,6 +128,65 @@ def test_page_with_everything():
     ]
 
 
+def soup(rng):
+    """A page without any telling tag or name: links, an article with short lines and lists, teasers among links, a notice; and its article's blocks."""
+    word = lambda: "".join(rng.choice(list("abcdeimnorst"), rng.integers(2, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    links = lambda n: "<ul>" + "".join(f"<li><a href=/{k}>{text(rng.integers(1, 4))}</a></li>" for k in range(n)) + "</ul>"
+    rows, want = [], []
+    for k in range(rng.integers(4, 12)):
+        kind = rng.integers(0, 4) if 0 < k else 3
+        t = text(rng.integers(1, 4)) if kind < 2 else text(rng.integers(20, 60)) + "."
+        if kind == 0:
+            items = [text(rng.integers(1, 4)) for _ in range(rng.integers(2, 5))]
+            rows.append("<ul>" + "".join(f"<li>{i}</li>" for i in items) + "</ul>")
+            want += items
+        else:
+            rows.append(f"<h3>{t}</h3>" if kind == 1 else f"<p>{t}</p>")
+            want.append(t)
+    last = text(25) + "."
+    teaser = "".join(f"<li>{text(rng.integers(12, 20))}.</li>" if k == 2 else f"<li><a href=/x>{text(3)}</a></li>" for k in range(7))
+    page = f"<body><div>{links(6)}</div><div><div>{''.join(rows)}<p>{last}</p></div></div><div><ul>{teaser}</ul></div><div>{links(4)}<p>Copyright {text(3)}</p></div></body>"
+    return page, [*want, last]
+
+
+def test_the_cut_mends_what_the_classifier_gets_wrong():
+    rng = np.random.default_rng(11)
+    wrong = [0, 0]
+    blocks = mended = 0
+    for _ in range(150):
+        page, want = soup(rng)
+        found = html_mincut.blocks_of(page)
+        odds = [html_mincut.log_odds(b) for b in found]
+        truth = [b.text in want for b in found]
+        assert sum(truth) == len(want)
+        cut = html_mincut.minimum_cut(odds, html_mincut.smoothness(found))
+        sign = [x > 0 for x in odds]
+        blocks += len(found)
+        mended += sum(s != t == c for s, t, c in zip(sign, truth, cut, strict=True))
+        for k, labels in enumerate((sign, cut)):
+            wrong[k] += sum(a != b for a, b in zip(labels, truth, strict=True))
+    assert mended > 150 and wrong[1] < 0.01 * blocks and wrong[1] * 10 < wrong[0]
+
+
+def test_nothing_else_is_dropped_and_references_are_read_for_themselves():
+    assert html_mincut.main_text("<article><p>Let <math><mi>x</mi></math> be <svg><title>t</title><text>a</text></svg></p><audio>old</audio></article>") == "Let x be a\nold"
+    assert html_mincut.main_text("<article><p>a &am<b>p; b &lt;b></p></article>") == "a &amp; b <b>"
+    links = "".join(f"<li><a href=/>{w}</a></li>" for w in "one two three".split())
+    assert html_mincut.main_text(f"<article><h1>Title</h1><p>See these.</p><ul>{links}</ul></article>").endswith("one\ntwo\nthree")
+
+
+def test_hostile_and_long_pages_take_linear_time():
+    import time
+
+    began = time.time()
+    for page in ("<div>" * 40_000 + "</i>" * 40_000, "<div>" * 40_000 + "</p></ul>" * 40_000, "<i><div>" + "<b>" * 40_000 + "</i>" * 40_000 + "x", "<div>" * 5000 + "abc def." + "</div>" * 5000):
+        html_mincut.main_text(page)
+    long = "".join(f"<p>line {k} of a long page that goes on and on.</p>" for k in range(20_000))
+    assert html_mincut.main_text(f"<main>{long}</main>").count("\n") == 19_999
+    assert time.time() - began < 20
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.floats(-3, 3), min_size=1, max_size=7), st.data())
 def test_minimum_cut_is_minimal(odds, data):
@@ -193,6 +252,52 @@ def test_entropy_finds_keys_and_spares_words():
     assert entropy_secrets.redact("a token: abcdefgh b", entropy_secrets.secret_spans("a token: abcdefgh b")[1]) == "a [SECRET] b"
 
 
+def planted_secrets(rng, n):
+    """Random keys of several alphabets and lengths, none of a form that a base pattern names."""
+    sets = {
+        "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 24, 64),
+        "letters": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 24, 48),
+        "base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 20, 40),
+        "lower": ("abcdefghijklmnopqrstuvwxyz0123456789", 20, 40),
+        "short": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 16, 20),
+        "HEX": ("0123456789ABCDEF", 24, 64),
+    }
+    for k in range(n):
+        name = list(sets)[k % len(sets)]
+        letters, low, high = sets[name]
+        yield name, "".join(rng.choice(list(letters), rng.integers(low, high)))
+
+
+def test_entropy_finds_what_no_pattern_names_and_nothing_else(spark):
+    """Every clean text of the table with one key put into it: how many are found, how much of them, and what else is."""
+    rng = np.random.default_rng(8)
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").orderBy("doc_id").limit(600).collect()]
+    clean = [t for t in texts if not entropy_secrets.base_spans(t)]
+    assert len(clean) > 400
+    assert [entropy_secrets.secret_spans(t)[1] for t in clean] == [[]] * len(clean)
+    found, of = Counter(), Counter()
+    for text, (name, key) in zip(clean, planted_secrets(rng, len(clean)), strict=False):
+        at = text.find(" ", int(rng.integers(0, len(text))))
+        at = len(text) if at < 0 else at
+        put = rng.choice([" {} ", ' "{}" ', " key={} ", " https://h.example.com/{}/x "])
+        start = at + put.index("{}")
+        spans = entropy_secrets.secret_spans(text[:at] + put.replace("{}", key) + text[at:])[1]
+        of[name] += 1
+        found[name] += any(a <= start + 3 and b >= start + len(key) - 3 for _, a, b in spans)
+        assert all(b > start - 12 and a < start + len(key) for _, a, b in spans)
+    assert all(found[k] >= 0.9 * of[k] for k in of), (found, of)
+    assert sum(found.values()) >= 0.95 * sum(of.values()), (found, of)
+
+
+def test_allow_list_goes_by_pieces():
+    key = "x8Kq2ZrT5vB9nM1cW7yD4eF6hJ3"
+    text = f"/example/{key}/page"
+    assert [(text[a:b]) for _, a, b in entropy_secrets.secret_spans(text)[1]] == [key]
+    many = " ".join(f"token=abcdefgh{k} x8Kq2ZrT5vB9nM1cW7yD{k}" for k in range(20_000))
+    base, spans = entropy_secrets.secret_spans(many)
+    assert len(base) == 20_000 and len(spans) == 40_000
+
+
 def test_secret_query(spark):
     docs = nasty(spark)
     got = entropy_secrets.scan(docs).collect()
