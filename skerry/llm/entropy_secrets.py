@@ -116,32 +116,41 @@ def secret_spans(text: str) -> tuple[list, list]:
     """Base spans, and all spans, each sorted by start and then by kind."""
     order = lambda x: (x[1], KINDS.index(x[0]), x[2])
     base = sorted(base_spans(text), key=order)
-    taken = _union(base)
+    taken = _union([(a, b) for _, a, b in base])
     more, at = [], 0
     for start, s in candidates(text):
-        kind = kind_of(s)
-        if kind is None:
-            continue
-        window, limit, changes = CLASSES[kind]
+        found = _windows(s, 0)
+        if not s.isalnum():  # a piece may be a key by itself, in a class that its neighbours hide
+            found = _union(sorted(found + [x for m in PIECE.finditer(s) if len(m[0]) >= LEAST for x in _windows(m[0], m.start())]))
         while at < len(taken) and taken[at][1] <= start:  # candidates come in order, so this pointer only goes forward
             at += 1
-        for a, b in entropy_spans(s, limit, window, changes):
+        for a, b in found:
             a, b = a + start, b + start
             for c, d in itertools.islice(taken, at, None):
                 if c >= b:
                     break
                 if d > a:
-                    if c - a >= window:
+                    if c - a >= LEAST:
                         more.append(("entropy", a, c))
                     a = max(a, d)
-            if b - a >= window:
+            if b - a >= LEAST:
                 more.append(("entropy", a, b))
     return base, sorted(base + more, key=order)
 
 
+def _windows(s: str, at: int) -> list[tuple[int, int]]:
+    """Marked stretches of a string that stands at `at`, by its class."""
+    kind = kind_of(s)
+    if kind is None:
+        return []
+    window, limit, changes = CLASSES[kind]
+    return [(a + at, b + at) for a, b in entropy_spans(s, limit, window, changes)]
+
+
 def _union(spans) -> list[tuple[int, int]]:
+    """Sorted spans with overlapping and touching ones made one."""
     out: list[tuple[int, int]] = []
-    for _, a, b in spans:
+    for a, b in spans:
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(out[-1][1], b))
         else:
