@@ -8,10 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def erf(x: Column) -> Column:
-    """Error function: the power series up to 3, the continued fraction of its complement beyond; error under 1e-12."""
-    x = x.cast("double")
-    a = F.abs(x)
+def _near_and_far(a: Column) -> tuple[Column, Column]:
+    """For a >= 0 the error function by its power series, and its complement by a continued fraction."""
     n = F.sequence(F.lit(1), F.lit(80))
     start = F.struct(a.alias("term"), a.alias("sum"))
 
@@ -22,12 +20,24 @@ def erf(x: Column) -> Column:
     near = F.aggregate(n, start, term, lambda acc: acc.sum * (2.0 / math.sqrt(math.pi)))
     down = F.reverse(F.sequence(F.lit(1), F.lit(60)))
     tail = F.aggregate(down, a, lambda acc, k: a + (k / 2.0) / acc)
-    far = 1.0 - F.exp(0.0 - a * a) / (math.sqrt(math.pi) * tail)
-    return F.signum(x) * F.when(a < 3.0, near).when(a < 27.0, far).otherwise(F.lit(1.0))
+    return near, F.exp(0.0 - a * a) / (math.sqrt(math.pi) * tail)
+
+
+def erf(x: Column) -> Column:
+    """Error function: the power series up to 3, the continued fraction of its complement beyond; error under 1e-12."""
+    x = x.cast("double")
+    a = F.abs(x)
+    near, far = _near_and_far(a)
+    return F.signum(x) * F.when(a < 3.0, near).when(a < 27.0, 1.0 - far).otherwise(F.lit(1.0))
 
 
 def erfc(x: Column) -> Column:
-    return 1.0 - erf(x)
+    """Complement of the error function; beyond 3 by the continued fraction itself, so small values keep their digits."""
+    x = x.cast("double")
+    a = F.abs(x)
+    near, far = _near_and_far(a)
+    above = F.when(a < 3.0, 1.0 - near).when(a < 27.0, far).otherwise(F.lit(0.0))
+    return F.when(x < 0, 2.0 - above).otherwise(above)
 
 
 def normal_pdf(x: Column, mean, std) -> Column:

@@ -55,12 +55,20 @@ def kth(df: DataFrame, value: str, k: int, bins: int = 1024) -> float | None:
     """The valid value at place k (from 0) in rising order. Each round counts `bins` ranges and goes on in the one that
     holds the place, so nothing is sorted and no task gets more than counts."""
     x = df.select(clean(F.col(value)).alias("v")).where("v is not null")
-    r = x.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n")).first()
+    infinite = math.inf
+    finite = F.when(F.abs("v") < infinite, F.col("v"))
+    r = x.agg(F.min(finite).alias("low"), F.max(finite).alias("high"), F.count("*").alias("n"), F.count(F.when(F.col("v") == -infinite, 1)).alias("below"), F.count(finite).alias("finite")).first()
     if not 0 <= k < r["n"]:
         return None
+    if k < r["below"]:
+        return -infinite
+    k -= r["below"]
+    if k >= r["finite"]:
+        return infinite
     low, high = r["low"], r["high"]
     while low < high:
-        at = F.least(F.floor((F.col("v") - low) / (high - low) * bins), F.lit(bins - 1))
+        part = 1.0 if math.isfinite(high - low) else 0.5  # halves, where the range itself overflows
+        at = F.least(F.floor((F.col("v") * part - low * part) / (high * part - low * part) * bins), F.lit(bins - 1))
         rows = x.where(F.col("v").between(low, high)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("bin").collect()
         for row in rows:
             if k < row["n"]:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skerry.plans.iterate import Scratch, components
+from skerry.plans.iterate import Scratch, components, numbered
 
 from .spatial import radius_join
 
@@ -27,9 +27,8 @@ def connected_within_labels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def dense_ids(df: DataFrame, column: str, new: str) -> DataFrame:
-    """A dense numbering from 0 of a column's values in rising order; only distinct values are ranked."""
-    ids = df.select(column).distinct().withColumn(new, F.row_number().over(Window.orderBy(column)) - 1)
-    return df.join(ids, column)
+    """A dense numbering from 0 of a column's values in rising order; only distinct values are numbered, range by range."""
+    return df.join(numbered(df.select(column).distinct(), [column], new), column)
 
 
 def tracks(matches: DataFrame, least: int = 2) -> DataFrame:
@@ -135,30 +134,30 @@ def oriented_by_tree(normals: DataFrame, edges: DataFrame) -> DataFrame:
     return done
 
 
-def potts(costs: DataFrame, edges: DataFrame, smooth: float, rounds: int = 10) -> DataFrame:
+def potts(costs: DataFrame, edges: DataFrame, smooth: float, rounds: int = 1000) -> DataFrame:
     """id, label: labels of low summed cost (id, label, cost) plus `smooth` per edge with unlike ends, by iterated
-    conditional modes from the cheapest labels; nodes of even and odd id take turns, so the energy never rises."""
+    conditional modes from the cheapest labels. In a round every node that a better label suits wants to move, and moves
+    unless a neighbour whose draw (a hash of round and id) is smaller wants to as well; so those that move aren't neighbours, and the energy falls with
+    each round until nobody wants to. Raises when that takes more than `rounds`."""
     scratch = Scratch(costs.sparkSession)
     both, _ = scratch.cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     costs, _ = scratch.cut(costs.select("id", "label", F.col("cost").cast("double").alias("cost")))
-    best = lambda x: x.groupBy("id").agg(F.min(F.struct("cost", "label")).alias("m")).select("id", F.col("m.label").alias("label"))
-    now, _ = scratch.cut(best(costs))
-    still = 0
-    for k in range(2 * rounds):
-        mine = costs.where(F.pmod("id", F.lit(2)) == k % 2)
+    draw = lambda c: F.struct(F.xxhash64(F.lit(k), c), c)
+    first = costs.groupBy("id").agg(F.min(F.struct("cost", "label")).alias("m"))
+    now, _ = scratch.cut(first.select("id", F.col("m.label").alias("label")))
+    for k in range(rounds):
         near = both.join(now.select(F.col("id").alias("b"), F.col("label").alias("near")), "b")
         votes = near.groupBy(F.col("a").alias("id"), F.col("near").alias("label")).agg(F.count("*").alias("n"))
         degree = near.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("degree"))
-        x = mine.join(votes, ["id", "label"], "left").join(degree, "id", "left")
-        x = x.select("id", "label", (F.col("cost") + smooth * (F.coalesce("degree", F.lit(0)) - F.coalesce("n", F.lit(0)))).alias("cost"))
-        new = best(x).unionByName(now.where(F.pmod("id", F.lit(2)) != k % 2))
-        new, _ = scratch.cut(new)
-        moved = new.exceptAll(now).limit(1).count()
-        still = 0 if moved else still + 1
-        now = new
-        if still == 2:
-            break
-    return now
+        x = costs.join(votes, ["id", "label"], "left").join(degree, "id", "left").join(now.withColumnRenamed("label", "own"), "id")
+        x = x.select("id", "label", "own", (F.col("cost") + smooth * (F.coalesce("degree", F.lit(0)) - F.coalesce("n", F.lit(0)))).alias("cost"))
+        x = x.groupBy("id").agg(F.min(F.struct("cost", "label")).alias("m"), F.min(F.when(F.col("label") == F.col("own"), F.col("cost"))).alias("was"))
+        wants, _ = scratch.cut(x.where(F.col("m.cost") < F.col("was") - 1e-12).select("id", F.col("m.label").alias("new")))
+        if not wants.limit(1).count():
+            return now
+        wait = both.join(wants.select(F.col("id").alias("a")), "a", "left_semi").join(wants.select(F.col("id").alias("b")), "b", "left_semi").where(draw("b") < draw("a")).select(F.col("a").alias("id")).distinct()
+        now, _ = scratch.cut(now.join(wants.join(wait, "id", "left_anti"), "id", "left").select("id", F.coalesce("new", "label").alias("label")))
+    raise RuntimeError(f"labels still change after {rounds} rounds")
 
 
 def energy(costs: DataFrame, edges: DataFrame, labels: DataFrame, smooth: float) -> DataFrame:

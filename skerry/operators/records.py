@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skerry.functions import geometry as G
 from skerry.functions.strings import base_name
+from skerry.plans.iterate import numbered
 
 
 def by_base_name(left: DataFrame, right: DataFrame, left_path: str, right_path: str, pick: str, last: bool = False) -> DataFrame:
@@ -44,11 +45,12 @@ def nested_views(cameras: DataFrame, layouts: DataFrame, points: DataFrame, key:
     return cameras.join(s, key, "left").join(p, key, "left")
 
 
-def nearest_line(lines: DataFrame, candidates: DataFrame, key: str, angle: float = 5.0, distance: float = 5.0) -> DataFrame:
+def nearest_line(lines: DataFrame, candidates: DataFrame, key: str, angle: float = 5.0, distance: float = 5.0, others: bool = False) -> DataFrame:
     """key, line_id, match, measure: of the candidates in the same `key` the one of least angle + distance, both under
-    their limits, -1 without any."""
+    their limits, -1 without any; `others` passes over a candidate of the line's own id."""
     side = lambda s: G.segment(*[F.col(f"{s}.{c}") for c in ("x1", "y1", "x2", "y2")])
     x = lines.select(key, "line_id", F.struct("*").alias("p")).join(candidates.select(key, F.struct("*").alias("q")), key)
+    x = x.where("p.line_id <> q.line_id") if others else x
     x = x.withColumn("m", G.segment_measure(side("p"), side("q"))).where((F.col("m.angle") < angle) & (F.col("m.mean") < distance))
     best = x.groupBy(key, "line_id").agg(F.min(F.struct((F.col("m.angle") + F.col("m.mean")).alias("measure"), F.col("q.line_id").alias("match"))).alias("b"))
     return lines.select(key, "line_id").join(best, [key, "line_id"], "left").select(key, "line_id", F.coalesce("b.match", F.lit(-1)).alias("match"), "b.measure")
@@ -130,9 +132,9 @@ def descriptor_matches(a: DataFrame, b: DataFrame, key: str, most: int = 25) ->
 
 
 def ordered_files(names: DataFrame) -> DataFrame:
-    """path, id: files by leading number if every name starts with one, else by name; ids from 0. A listing is small."""
+    """path, id: files by leading number if every name starts with one, else by name; ids from 0. """
     n = names.withColumn("base", base_name(F.col("path")))
     every = n.agg(F.coalesce(F.bool_and(F.col("base").rlike("^[0-9]+")), F.lit(False)).alias("every"))
     x = n.crossJoin(F.broadcast(every))  # one row
-    number = F.when(F.col("every"), F.regexp_extract("base", "^([0-9]+)", 1).try_cast("bigint"))
-    return x.select("path", (F.row_number().over(Window.orderBy(number, "base", "path")) - 1).alias("id"))
+    x = x.select("path", "base", F.when(F.col("every"), F.regexp_extract("base", "^([0-9]+)", 1).try_cast("bigint")).alias("number"))
+    return numbered(x, ["number", "base", "path"], "id").select("path", "id")

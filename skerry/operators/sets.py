@@ -56,7 +56,7 @@ def distinct_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def distinct_segments(df: DataFrame, layout: str = "layout_id") -> DataFrame:
     """Segments x1, y1, x2, y2 once per layout, whichever end comes first; the smallest line_id stays."""
-    p, q = F.struct("x1", "y1"), F.struct("x2", "y2")
+    p, q = F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))
     best = df.groupBy(layout, F.least(p, q).alias("p"), F.greatest(p, q).alias("q")).agg(F.min("line_id").alias("line_id"))
     return df.join(best.select(layout, "line_id"), [layout, "line_id"], "left_semi")
 

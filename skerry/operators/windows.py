@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skerry.plans.iterate import numbered
+
 
 def path_length(df: DataFrame, key: str, order: list[str], x: str, y: str, z: str | None = None, closed: bool = False) -> DataFrame:
     """key, length: summed distances of consecutive rows; with `closed` back to the first."""
@@ -61,29 +63,25 @@ def segment_cells(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def relabelled(df: DataFrame, label: str, new: str) -> DataFrame:
-    """Labels numbered from 0 by falling frequency, ties to the smaller label. Only counts are ranked."""
-    n = df.groupBy(label).agg(F.count("*").alias("n"))
-    ranked = n.withColumn(new, F.row_number().over(Window.orderBy(F.desc("n"), label)) - 1).drop("n")
-    return df.join(ranked, label)
-
-
-def exposure_filled(frames: DataFrame) -> DataFrame:
-    """id, ts, exposure: an exposure of zero becomes the mean of its positive neighbours, the one before already filled;
-    with one positive neighbour that one. A series that stays unfilled anywhere is cleared to zero throughout."""
-    frames = frames.select(F.struct("id", "ts", "exposure").alias("f")).groupBy().agg(F.sort_array(F.collect_list("f")).alias("s"))  # one capture's frame list
-
-    def fill(acc: Column, f: Column) -> Column:
-        last = F.try_element_at(acc.out, F.lit(-1))
-        before = F.coalesce(last.exposure, F.lit(0.0))
-        after = F.coalesce(F.get(acc.all, F.size(acc.out) + 1).exposure, F.lit(0.0))
-        mean = F.when((before > 0) & (after > 0), (before + after) / 2.0).otherwise(F.greatest(before, after))
-        e = F.when(f.exposure > 0, f.exposure).otherwise(mean)
-        return F.struct(acc.all.alias("all"), F.array_append(acc.out, F.struct(f.id.alias("id"), f.ts.alias("ts"), e.alias("exposure"))).alias("out"))
-
-    start = F.struct(F.col("s").alias("all"), F.slice("s", 1, 0).alias("out"))
-    x = frames.select(F.aggregate("s", start, fill, lambda acc: acc.out).alias("out"))
-    ok = F.forall("out", lambda f: f.exposure > 0)
-    return x.select(F.explode("out").alias("f"), ok.alias("ok")).select("f.id", "f.ts", F.when(F.col("ok"), F.col("f.exposure")).otherwise(F.lit(0.0)).alias("exposure"))
+    """Labels numbered from 0 by falling frequency, ties to the smaller label. Only counts are ranked, range by range."""
+    n = df.groupBy(label).agg((F.lit(0) - F.count("*")).alias("less_"))
+    return df.join(numbered(n, ["less_", label], new).drop("less_"), label)
+
+
+def exposure_filled(frames: DataFrame, key: str | None = None) -> DataFrame:
+    """key, id, ts, exposure: an exposure of zero becomes the mean of its positive neighbours, the one before already filled;
+    with one positive neighbour that one. A series that stays unfilled anywhere is cleared to zero throughout. `key` tells
+    captures apart; without it all frames are one capture, and one window.
+
+    In a run of zeros all take the positive value before it, and the last one its mean with the value after."""
+    keys = [key] if key else []
+    w = Window.partitionBy(*(keys or [F.lit(0)]))
+    order = w.orderBy("id")
+    e = F.when(F.col("exposure") > 0, F.col("exposure"))
+    before, after = F.last(e, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lead(e).over(order)
+    x = frames.select(*keys, "id", "ts", F.coalesce(e, (before + after) / 2.0, before, after, F.lit(0.0)).alias("e"))
+    ok = F.min("e").over(w) > 0
+    return x.select(*keys, "id", "ts", F.when(ok, F.col("e")).otherwise(F.lit(0.0)).alias("exposure"))
 
 
 def exposure_means(frames: DataFrame, key: str | None = None) -> DataFrame:

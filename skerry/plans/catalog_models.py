@@ -174,41 +174,24 @@ def dbscan(spark, sf_dir):
     return graph.dbscan(points(spark, sf_dir).select("pid", "x", "y", "z"), 0.07, 4)
 
 
-_MATCHES = "m AS (SELECT l_orderkey % 50 AS va, l_partkey % 400 AS ia, l_suppkey % 50 AS vb, l_linenumber + l_partkey % 390 AS ib FROM lineitem WHERE l_quantity >= 49)"
-
-
-@query(f"""WITH RECURSIVE {_MATCHES}, e AS (SELECT va * 4294967296 + ia AS a, vb * 4294967296 + ib AS b FROM m), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-c AS (SELECT a AS id, a AS root FROM u UNION SELECT u.b, c.root FROM c JOIN u ON u.a = c.id AND c.root < u.b), g AS (SELECT id, min(root) AS track FROM c GROUP BY id),
-n AS (SELECT track, count(*) AS n, count(DISTINCT id // 4294967296) AS v FROM g GROUP BY track) SELECT track, n, n <> v AS conflict FROM n WHERE n >= 2""")
-def tracks(spark, sf_dir):
-    x = t(spark, sf_dir, "lineitem").where("l_quantity >= 49")
-    m = x.select((F.col("l_orderkey") % 50).alias("view_a"), (F.col("l_partkey") % 400).alias("item_a"), (F.col("l_suppkey") % 50).alias("view_b"), (F.col("l_linenumber") + F.col("l_partkey") % 390).alias("item_b"))
-    return graph.tracks(m).groupBy("track", "conflict").agg(F.count("*").alias("n"))
-
-
 _EVERY_MATCH = "m AS (SELECT l_orderkey AS va, l_partkey AS ia, l_suppkey AS vb, l_linenumber + l_partkey AS ib FROM lineitem)"
 
 
 @query(f"""WITH RECURSIVE {_EVERY_MATCH}, e AS (SELECT va * 4294967296 + ia AS a, vb * 4294967296 + ib AS b FROM m), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 c AS (SELECT a AS id, a AS root FROM u UNION SELECT u.b, c.root FROM c JOIN u ON u.a = c.id AND c.root < u.b), g AS (SELECT id, min(root) AS track FROM c GROUP BY id),
 n AS (SELECT track, count(*) AS n, count(DISTINCT id // 4294967296) AS v FROM g GROUP BY track) SELECT track, n, n <> v AS conflict FROM n WHERE n >= 2""")
-def tracks_whole(spark, sf_dir):
-    """`tracks` over every row and with the keys themselves as views and items."""
+def tracks(spark, sf_dir):
+    """Tracks over every order line, the keys themselves as views and items."""
     x = t(spark, sf_dir, "lineitem")
     m = x.select(F.col("l_orderkey").alias("view_a"), F.col("l_partkey").alias("item_a"), F.col("l_suppkey").alias("view_b"), (F.col("l_linenumber") + F.col("l_partkey")).alias("item_b"))
     return graph.tracks(m).groupBy("track", "conflict").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH RECURSIVE {P}, {_REACH.format(d=_NEAR, r=0.08)}, c AS (SELECT pid AS id, pid AS seed, 0 AS d FROM p WHERE pid IN (SELECT min(pid) FROM p GROUP BY label) UNION SELECT e.b, c.seed, c.d + 1 FROM c JOIN e ON e.a = c.id WHERE c.d < 6)
-SELECT id, CAST(min(d) AS DOUBLE) AS distance, arg_min(seed, d * 1000000 + seed) AS seed FROM c GROUP BY id""")
+@query(f"""WITH RECURSIVE {P}, {_REACH.format(d=_NEAR, r=0.08)}, c(id, seed, d) USING KEY (id) AS (SELECT pid, pid, 0 FROM p WHERE pid IN (SELECT min(pid) FROM p GROUP BY label)
+UNION SELECT e.b, min(c.seed), min(c.d) + 1 FROM c JOIN e ON e.a = c.id LEFT JOIN recurring.c k ON k.id = e.b WHERE k.id IS NULL GROUP BY e.b)
+SELECT id, CAST(d AS DOUBLE) AS distance, seed FROM c""")
 def breadth_first(spark, sf_dir):
-    seeds = points(spark, sf_dir).groupBy("label").agg(F.min("pid").alias("id")).select("id")
-    return graph.search(_near_edges(spark, sf_dir, 0.08), seeds, most=6).select("id", "distance", "seed")
-
-
-@query()
-def breadth_first_whole(spark, sf_dir):
-    """`breadth_first` until no node is reached any more."""
+    """Until no node is reached any more; of several nearest seeds the smallest."""
     seeds = points(spark, sf_dir).groupBy("label").agg(F.min("pid").alias("id")).select("id")
     return graph.search(_near_edges(spark, sf_dir, 0.08), seeds).select("id", "distance", "seed")
 
@@ -309,14 +292,16 @@ def colour_outliers(spark, sf_dir):
 
 # --- meshes --------------------------------------------------------------------------------------------------------
 
-_FACES = "f AS (SELECT event_id AS fid, [user_id % 500, (event_id * 7 + user_id) % 500, (event_id * 13) % 500] AS v FROM events)"
+_FACES = "f AS (SELECT event_id AS fid, [user_id % n, (event_id * 7 + user_id) % n, (event_id * 13) % n] AS v FROM events, (SELECT count(*) AS n FROM embeddings))"
 _GOOD = "g AS (SELECT * FROM f WHERE v[1] <> v[2] AND v[2] <> v[3] AND v[1] <> v[3])"
 _EDGES = "d AS (SELECT fid, v[1] AS a, v[2] AS b FROM g UNION ALL SELECT fid, v[2], v[3] FROM g UNION ALL SELECT fid, v[3], v[1] FROM g)"
 
 
 def _mesh(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     e = t(spark, sf_dir, "events")
-    f = e.select(F.col("event_id").alias("fid"), F.array(F.col("user_id") % 500, (F.col("event_id") * 7 + F.col("user_id")) % 500, F.col("event_id") * 13 % 500).alias("v"))
+    n = t(spark, sf_dir, "embeddings").agg(F.count("*").alias("n"))
+    e = e.crossJoin(F.broadcast(n))  # one row
+    f = e.select(F.col("event_id").alias("fid"), F.array(F.col("user_id") % F.col("n"), (F.col("event_id") * 7 + F.col("user_id")) % F.col("n"), F.col("event_id") * 13 % F.col("n")).alias("v"))
     return points(spark, sf_dir).select(F.col("pid").alias("vid"), "x", "y", "z"), f
 
 
@@ -484,11 +469,7 @@ m AS (SELECT pid, other, degrees(acos(least(1, abs(ux*vx+uy*vy)/(sqrt(ux*ux+uy*u
 SELECT s.pid, coalesce(arg_min(m.other, m.angle + m.d), -1) AS match FROM s LEFT JOIN m ON m.pid = s.pid AND m.angle < 5 AND m.d < 5 GROUP BY s.pid""")
 def nearest_line(spark, sf_dir):
     s = points(spark, sf_dir).select("label", F.col("pid").alias("line_id"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("z").alias("x2"), F.col("nx").alias("y2"))
-    side = lambda p: G.segment(*[F.col(f"{p}.{c}") for c in ("x1", "y1", "x2", "y2")])
-    x = s.select("label", F.struct("*").alias("p")).join(s.select("label", F.struct("*").alias("q")), "label").where("p.line_id <> q.line_id")
-    x = x.withColumn("m", G.segment_measure(side("p"), side("q"))).where("m.angle < 5 and m.mean < 5")
-    best = x.groupBy(F.col("p.line_id").alias("line_id")).agg(F.min_by("q.line_id", F.struct(F.col("m.angle") + F.col("m.mean"), "q.line_id")).alias("match"))
-    return s.join(best, "line_id", "left").select(F.col("line_id").alias("pid"), F.coalesce("match", F.lit(-1)).alias("match"))
+    return records.nearest_line(s, s, "label", others=True).select(F.col("line_id").alias("pid"), "match")
 
 
 @query(f"""WITH {P} SELECT a.pid AS view_id, array_to_string(list_sort(list(b.pid)), ',') AS near FROM p a JOIN p b ON a.label = b.label AND a.pid <> b.pid
@@ -500,8 +481,10 @@ def view_angle_groups(spark, sf_dir):
 
 @query("""SELECT l_orderkey, count(*) AS n, array_to_string(list_sort(list(DISTINCT l_suppkey)), ',') AS views FROM lineitem GROUP BY 1""")
 def nested_tracks(spark, sf_dir):
-    x = t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("l_suppkey")).alias("v"))
-    return x.select("l_orderkey", "n", F.array_join(F.transform("v", lambda p: p.cast("string")), ",").alias("views"))
+    o = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("track_id"), F.col("l_suppkey").alias("view_id"), F.col("l_linenumber").alias("u"), F.col("l_quantity").alias("v"), F.lit(0).alias("polygon"))
+    x = records.nested_tracks(o, o.select("track_id").distinct())
+    views = F.array_distinct(F.transform("observations", lambda p: p.view_id))  # observations are sorted by view
+    return x.select(F.col("track_id").alias("l_orderkey"), F.size("observations").cast("long").alias("n"), F.array_join(F.transform(views, lambda p: p.cast("string")), ",").alias("views"))
 
 
 @query("SELECT c.c_custkey, coalesce(min(o.o_orderkey), -1) AS grp FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY 1")

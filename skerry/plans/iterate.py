@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -15,10 +15,13 @@ def let(value: Column, body) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. The session's own setting wins; a temporary one is made only where none is set."""
+    """The folder all executors share. The session's own setting wins; a temporary one is made only in local mode, where
+    driver and executors are one process. A cluster must name its folder."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="skerry-checkpoint-")
         sc.setCheckpointDir(where)
     return where.rstrip("/")
@@ -47,6 +50,18 @@ class Scratch:
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def numbered(df: DataFrame, order: list[str], new: str) -> DataFrame:
+    """Rows numbered from 0 in the order of columns, without a global window: rows are sorted by ranges, each range is
+    numbered for itself and starts where the ranges before it end. Only one count a range (a partition) is gathered."""
+    scratch = Scratch(df.sparkSession)
+    x, _ = scratch.cut(df.repartitionByRange(*order).withColumn("range_", F.spark_partition_id()))
+    n = x.groupBy("range_").agg(F.count("*").alias("n_"))
+    before = F.coalesce(F.sum("n_").over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
+    x = x.join(F.broadcast(n.select("range_", before.alias("before_"))), "range_")
+    place = F.row_number().over(Window.partitionBy("range_").orderBy(*order))
+    return x.withColumn(new, (F.col("before_") + place - 1).cast("long")).drop("range_", "before_")
+
+
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 

@@ -233,7 +233,10 @@ class PlyWriter(DataSourceWriter):
                 for v, (_, kind, many) in zip(row, kinds, strict=True):
                     if many:
                         body.write(np.array(len(v), "u1").tobytes())
-                    body.write(np.asarray(v).astype(order + KINDS[kind]).tobytes())
+                    a = np.asarray(v)
+                    if a.dtype.kind in "iu" and (a > 0x7FFFFFFF).any() or (a < -0x80000000).any():
+                        raise OverflowError("PLY has no integers beyond 32 bits; cast such a column to double")
+                    body.write(a.astype(order + KINDS[kind]).tobytes())
         lines = ["ply", f"format {self.format} 1.0"] + [f"comment {self.comment}"] * bool(self.comment) + [f"element {self.element} {n}"]
         lines += [f"property list uchar {kind} {name}" if many else f"property {kind} {name}" for name, kind, many in kinds] + ["end_header", ""]
         with open(path, "wb") as file:

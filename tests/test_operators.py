@@ -276,7 +276,7 @@ def test_tracks_take_every_match(spark):
     for x in list(parent):
         members.setdefault(root(x), []).append(x)
     want = sorted((k[0] << 32 | k[1], len({v for v, _ in m}) < len(m), len(m)) for k, m in members.items() if len(m) > 1)
-    got = catalog_models.tracks_whole(spark, sf).collect()
+    got = catalog_models.tracks(spark, sf).collect()
     assert sorted((r["track"], r["conflict"], r["n"]) for r in got) == want
     assert sum(r["n"] for r in got) == len({(o, p) for o, p, _, _ in rows} | {(s, n + p) for _, p, s, n in rows})
 
@@ -327,4 +327,4 @@ def test_search_query_goes_to_the_end(spark):
                 step[b] = min(step.get(b, (math.inf, 0)), (best[a][0] + 1, best[a][1]))
         front = {b for b, v in step.items() if v < best.get(b, (math.inf, 0))}
         best |= {b: step[b] for b in front}
-    assert {r["id"]: (r["distance"], r["seed"]) for r in catalog_models.breadth_first_whole(spark, sf).collect()} == best
+    assert {r["id"]: (r["distance"], r["seed"]) for r in catalog_models.breadth_first(spark, sf).collect()} == best
