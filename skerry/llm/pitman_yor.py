@@ -7,22 +7,26 @@ distribution over the V training tokens and one place for all unknown ones. Cust
 (word before, word) counts of the training texts. The totals of the classes are 4,161 numbers and are sent to every
 task; those of the words' restaurants grow with the corpus and stay spread.
 
-Seating. State is the number of tables per restaurant and dish. A sweep of the Gibbs sampler seats each dish's customers
-anew, one after another (in growing batches once there are many), given the parent's predictive probability and the
-totals of the sweep before; new tables are customers of the parent, which is seated next, up to the root. After
-`BURN` sweeps the predictive probabilities of `AVERAGED` sweeps are averaged. Sweeps draw from seeded generators per
-part of the vocabulary, so any task can be lost and run again, and later jobs replay earlier sweeps from the totals
-alone.
+Seating. State is the number of tables per restaurant and dish. A sweep of the blocked Gibbs sampler takes all customers
+of a dish out of a restaurant and seats them anew, one after another, given the parent's predictive probability and the
+totals of the sweep before; each next batch is as large as 1/32 of those seated, but one at least. New tables are
+customers of the parent, which is seated next, up to the root. After `BURN` sweeps the predictive probabilities of
+`AVERAGED` sweeps are averaged. Sweeps draw from seeded generators per part of the vocabulary and sweep, so any task can
+be lost and run again.
 
 Flow. Texts are read once, in blocks of about `BLOCK_CHARS`: a block writes its documents as sorted references to its
-distinct (word, context) pairs, and these pairs, summed over the block, packed by parts of the word hashes. Parts add up
-the blocks' counts, run the sweeps, and send each block the probabilities of its pairs; the block then adds them up per
-document. A pair that is everywhere is one entry per block, so no part or task has more of it than others. A context's
-customers are spread over the parts of the words after it. The part that its own hash falls in owns its totals: after
-each sweep every part sends the owners the tables of its contexts, and the owners send back the sums; a context that is
-everywhere is one entry per part.
-
-Defined cases: null and empty texts are an end token alone. Words are compared by 64-bit hashes. Every row is scored,
+distinct (word, context) pairs, and these pairs, summed over the block, packed by parts of the word hashes. One shuffle
+brings each part its shares; it adds up the counts, and writes them with, for each block, the places of the block's words
+and contexts in the part, so hashes move once. The block's documents pass through the same shuffle and wait in the table
+it is written to. Parts then run the sweeps, one job each, whose states are written, and send each block the
+probabilities of its pairs; the block adds them up per document. A pair that is everywhere is one entry per block, so no
+part or task has more of it than others. A context's customers are spread over the parts of the words after it. The part
+that its own hash falls in owns its totals: after each sweep every part sends the owners the tables of its contexts, and
+the owners send back the sums; a context that is everywhere is one entry per part. Log probabilities move in steps of
+2**-11, so a text's score is off by about 1.4e-4 times the root of its length.
+
+Defined cases: null and empty texts are an end token alone. Words are compared by 64-bit hashes, as contexts by the
+first 48 bits of them. Every row is scored,
 repeated ids included, and learned from where its fold says so. With no training text, N is 0 and every word unknown.
 """
 
@@ -40,23 +44,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, fold
+from .texts import small_batches
 
 U1, U2 = 64, 64 * 64
 #: Discount and strength by level: root, u1, u2, word before.
 DISCOUNT, STRENGTH = (0.55, 0.75, 0.85, 0.85), (5.0, 20.0, 20.0, 5.0)
 BURN, AVERAGED, SEED = 2, 2, 20
-BLOCK_CHARS, PART_CHARS = 4_000_000, 8_000_000
+BLOCK_CHARS, PART_CHARS = 6_000_000, 16_000_000
 END = xxhash.xxh3_64_intdigest(b"")  # no word is empty
-EXACT_SEATS = 64
 #: Numbers that describe all restaurants (see Part.totals), and the rows in which their sums reach the driver.
 N_TOTALS, SLOTS = 2 * U2 + U1 + 4, 32
 #: Kinds of rows between parts; `docs` then holds the kind and the number of sweeps done, `block` the sender.
-STATIC, TOTALS, ASKED, INDEX, SUMMED = range(5)
+STATIC, TOTALS, ASKED, INDEX, SUMMED, PLACES, STATE = range(7)
+LOG_STEP = 2.0**-11
 
 _PACKED = "block long, part int, docs array<long>, body binary"
 
 
+def slim(a: np.ndarray) -> np.ndarray:
+    """Numbers of 0 or more in the smallest type that holds them all."""
+    return a.astype(np.min_scalar_type(a.max(initial=0)))
+
+
 def pack(*arrays: np.ndarray) -> bytes:
+    arrays = tuple(slim(a) if a.dtype.kind in "iu" and a.min(initial=0) >= 0 else a for a in arrays)
     head = b"".join(struct.pack("<3sxQ", a.dtype.str.encode()[:3], len(a)) for a in arrays)
     return zstandard.compress(struct.pack("<I", len(arrays)) + head + b"".join(a.tobytes() for a in arrays), 3)
 
@@ -114,7 +125,8 @@ def block_rows(block: int, rows: list[tuple[int | None, bool, str | None]], part
     steps = np.diff(held, prepend=0).astype(np.int32)
     steps[starts] = held[starts]
     word, before, hashes, classes = pairs // len(names), pairs % len(names), hashes[order], classes[order]
-    yield block, -1, [i for i, _, _ in rows], pack(sizes.astype(np.uint32), steps)
+    # a part of its own below zero, so that documents pass through the shuffle of the parts as a group
+    yield block, -1 - xxhash.xxh3_64_intdigest(struct.pack("<q", block)) % (1 << 31), [i for i, _, _ in rows], pack(sizes.astype(np.uint32), steps)
     edges = np.searchsorted(part_of(hashes, parts), np.arange(parts + 1))
     cuts = np.searchsorted(word, edges)
     for p in range(parts):
@@ -123,7 +135,7 @@ def block_rows(block: int, rows: list[tuple[int | None, bool, str | None]], part
             x, y = cuts[p], cuts[p + 1]
             n = np.bincount(word[x:y] - a, minlength=b - a).astype(np.uint32)
             contexts, to = np.unique(before[x:y], return_inverse=True)
-            about = np.diff(hashes[contexts], prepend=np.uint64(0)), classes[contexts].astype(np.uint16), to.astype(np.uint32)
+            about = np.diff(hashes[contexts] >> np.uint64(16), prepend=np.uint64(0)), classes[contexts], to
             yield block, p, [], pack(np.diff(hashes[a:b], prepend=np.uint64(0)), n, *about, counts[x:y])
 
 
@@ -156,6 +168,7 @@ def read_pairs(body: bytes):
     """Hashes of a packed share's words, the word of each pair, hashes and classes of the contexts, the context of each
     pair and its training count."""
     steps, n, before, classes, context, counts = unpack(body)
+    n = n.astype(np.int64)
     return np.cumsum(steps, dtype=np.uint64), np.repeat(np.arange(len(n)), n), np.cumsum(before, dtype=np.uint64), classes.astype(np.int64), context.astype(np.int64), counts.astype(np.int64)
 
 
@@ -245,7 +258,7 @@ class Totals:
 
 def seat(rng, customers: np.ndarray, open_weight: np.ndarray, discount: float) -> np.ndarray:
     """Tables after seating each dish's customers: the next one opens a table with weight `open_weight`, against the
-    seated less a discount per table. The first `EXACT_SEATS` come one by one, then batches of 1/32 of those seated."""
+    seated less a discount per table. They come in batches of 1/32 of those seated, of one at least."""
     tables = (customers > 0).astype(np.int64)
     many = np.flatnonzero(customers > 1)
     many = many[np.argsort(-customers[many], kind="stable")]
@@ -253,7 +266,7 @@ def seat(rng, customers: np.ndarray, open_weight: np.ndarray, discount: float) -
     i = 1
     while len(c) and (n := int(np.searchsorted(-c, -i))):  # dishes with more than i customers come first
         c, w = c[:n], w[:n]
-        come = 1 if i < EXACT_SEATS else i // 32
+        come = max(1, i // 32)
         p = w / (w + i - discount * t[:n])
         left = np.minimum(c - i, come)
         t[:n] += rng.random(n) < p if come == 1 else rng.binomial(left, p)
@@ -265,13 +278,24 @@ def seat(rng, customers: np.ndarray, open_weight: np.ndarray, discount: float) -
 def _merge(parts: int):
     def run(key, table):
         p = key[0].as_py()
-        part = Part.merged(p, table.column("body").to_pylist())
-        n = np.bincount(part.word3, minlength=part.n_words).astype(np.uint32)
-        static = pack(n, part.classes.astype(np.uint16), part.context.astype(np.uint32), part.c3.astype(np.uint32 if part.c3.max(initial=0) < 1 << 32 else np.uint64))
+        if p < 0:
+            return table
+        blocks, bodies = (table.column(k).to_pylist() for k in ("block", "body"))
+        part = Part.merged(p, bodies)
+        n = np.bincount(part.word3, minlength=part.n_words)
+        static = pack(n, part.classes, part.context, part.c3)
         rows = [(p, p, [STATIC, 0], static), (p, p % SLOTS, [TOTALS, 0], pack(part.totals()))]
-        t, c = part.by_context(part.t3).astype(np.uint32), part.by_context(part.c3).astype(np.uint64)
-        for q, a, b in _owners(part_of(part.contexts, parts)):
+        t, c = part.by_context(part.t3), part.by_context(part.c3)
+        for q, a, b in _owners(part_of(part.contexts << np.uint64(16), parts)):
             rows.append((p, q, [ASKED, 0], pack(np.diff(part.contexts[a:b], prepend=np.uint64(0)), t[a:b], c[a:b])))
+        for block, body in zip(blocks, bodies, strict=True):
+            steps, of_word, before, _, context, _ = unpack(body)
+            hashes, at = np.cumsum(steps, dtype=np.uint64), np.zeros(len(steps), np.int64)
+            if part.n_words:
+                at = np.minimum(np.searchsorted(part.hashes, hashes), part.n_words - 1)
+                at = np.where(part.hashes[at] == hashes, at + 1, 0)  # 0: no training text has it
+            places = np.searchsorted(part.contexts, np.cumsum(before, dtype=np.uint64))
+            rows.append((block, p, [PLACES, 0], pack(at, of_word, np.diff(places, prepend=0), context)))
         return pa.Table.from_batches([_batch(rows)])
 
     return run
@@ -315,7 +339,7 @@ def _own_again(number: int):
 
 
 def _context_totals(rows, size: int):
-    """Tables of a part's contexts by sweeps done, and their customers, from the owners' rows."""
+    """Tables of a part's contexts by sweeps done, and their customers (if the first sums are there), from the owners' rows."""
     tables: dict[int, list[np.ndarray]] = {}
     customers = []
     for _, kind, number, body in rows:
@@ -323,30 +347,39 @@ def _context_totals(rows, size: int):
             t, *c = unpack(body)
             tables.setdefault(number, []).append(t)
             customers += c
-    done = [np.concatenate(tables[n]).astype(float) for n in sorted(tables)]
-    assert all(len(t) == size for t in done)
+    done = {n: np.concatenate(tables[n]).astype(float) for n in tables}
+    assert all(len(t) == size for t in done.values())
     return done, np.concatenate(customers).astype(float) if customers else np.zeros(size)
 
 
+def _static(p: int, rows) -> Part:
+    """A part from its packed counts. Words and contexts are known by their places only; owners' rows keep the order."""
+    n, classes, context, c = unpack(next(body for _, kind, _, body in rows if kind == STATIC))
+    pairs = np.repeat(np.arange(len(n)), n.astype(np.int64)) * max(len(classes), 1) + context
+    return Part(p, np.zeros(len(n), np.uint64), np.zeros(len(classes), np.uint64), classes.astype(np.int64), pairs, c.astype(np.int64))
+
+
+def _states(rows) -> dict[int, list[np.ndarray]]:
+    """Tables of a part by sweeps done."""
+    return {number: [t.astype(np.int64) for t in unpack(body)] for _, kind, number, body in rows if kind == STATE}
+
+
 def _sweep(sent):
-    """Totals of a part after all sweeps so far, and for the owners the tables of its contexts."""
+    """One more sweep of a part: its state, its totals, and for the owners the tables of its contexts."""
 
     def run(key, table):
-        p, rows, history = key[0].as_py(), _rows_of(table), sent.value
-        n, classes, context, c = unpack(next(body for _, kind, _, body in rows if kind == STATIC))
-        # only the contexts' number counts for a sweep, and owners' rows come in the order of their hashes
-        pairs = np.repeat(np.arange(len(n)), n) * len(classes) + context
-        part = Part(p, np.zeros(len(n), np.uint64), np.zeros(len(classes), np.uint64), classes.astype(np.int64), pairs, c.astype(np.int64))
-        done, _ = _context_totals(rows, len(classes))
-        for number, (totals, tables) in enumerate(zip(history, done, strict=True)):
-            part.sweep(totals, number, tables)
-        out = [(p, p % SLOTS, [TOTALS, len(history)], pack(part.totals()))]
-        t, at = part.by_context(part.t3).astype(np.uint32), 0
-        for q, kind, number, body in rows:
-            if kind == SUMMED and number == 0:
-                size = len(unpack(body)[0])
-                out.append((p, q, [ASKED, len(history)], pack(t[at : at + size])))
-                at += size
+        p, rows = key[0].as_py(), _rows_of(table)
+        number, totals = sent.value
+        part, states = _static(p, rows), _states(rows)
+        if number in states:
+            part.tables(states[number])
+        tables, _ = _context_totals(rows, len(part.contexts))
+        part.sweep(totals, number, tables[number])
+        out = [(p, p % SLOTS, [TOTALS, number + 1], pack(part.totals())), (p, p, [STATE, number + 1], pack(part.t3, part.t2, part.t1, part.t0))]
+        t, at = part.by_context(part.t3), 0
+        for q, size in sorted((q, len(unpack(body)[0])) for q, kind, of, body in rows if kind == SUMMED and of == number):
+            out.append((p, q, [ASKED, number + 1], pack(t[at : at + size])))
+            at += size
         return pa.Table.from_batches([_batch(out)])
 
     return run
@@ -358,33 +391,31 @@ def _sum(key, table):
 
 
 def _answer(sent):
+    """Log probabilities of each block's pairs, the mean of the predictive ones after the last sweeps."""
+
     def run(key, table):
         history, rows = sent.value, _rows_of(table)
-        shares = [(block, body) for block, kind, _, body in rows if kind == STATIC]
-        part = Part.merged(key[0].as_py(), [body for _, body in shares])
-        done, customers3 = _context_totals(rows, len(part.contexts))
-        count0 = np.bincount(part.word3, part.c3, part.n_words).astype(np.int64)
-        asked = []
-        for _, body in shares:
-            h, w, before, classes, u, _ = read_pairs(body)
-            at = np.searchsorted(part.hashes, h)
-            known = (at < part.n_words) & (part.hashes[np.minimum(at, part.n_words - 1)] == h) if part.n_words else np.zeros(len(h), bool)
-            word = np.where(known, at, -1)[w]
-            asked.append([w, known, at, word, np.searchsorted(part.contexts, before)[u], classes[u], np.zeros(len(u))])
-        for number, (totals, tables) in enumerate(zip(history, done, strict=True)):
-            if number >= len(history) - AVERAGED:
-                m = Totals(totals)
-                p0, p1, p2 = part.predictive(totals)
-                for x in asked:
-                    x[6] += look_up_word(part, tables, customers3, x[3], x[4], look_up(part, m, p0, p1, p2, x[3], x[5]))
-            if number < len(history) - 1:
-                part.sweep(totals, number, tables)
+        part, states = _static(key[0].as_py(), rows), _states(rows)
+        tables, customers = _context_totals(rows, len(part.contexts))
+        count0 = np.append(np.bincount(part.word3, part.c3, part.n_words).astype(np.int64), 0)
+        models = []
+        for number, totals in history.items():
+            if number in states:
+                part.tables(states[number])
+            m = Totals(totals)
+            models.append((m, part.t3, *part.predictive(totals), tables[number]))
         out = []
-        for (block, _), (words, known, at, _, _, _, p) in zip(shares, asked, strict=True):
-            c = np.zeros(len(known), np.int64)
-            c[known] = count0[at[known]]
-            out.append((block, key[0].as_py(), [], pack(c[words], np.log10(p / AVERAGED).astype(np.float32))))
-        return pa.Table.from_batches([_batch(out)])
+        for block, kind, _, body in rows:
+            if kind == PLACES:
+                at, of_word, steps, context = unpack(body)
+                at = at.astype(np.int64) - 1
+                word, context = np.repeat(at, of_word.astype(np.int64)), np.cumsum(steps, dtype=np.int64)[context]
+                p = np.zeros(len(word))
+                for m, part.t3, p0, p1, p2, t in models:
+                    p += look_up_word(part, t, customers, word, context, look_up(part, m, p0, p1, p2, word, part.classes[context]))
+                logs = np.minimum(np.rint(np.log10(p / len(models)) / -LOG_STEP), 65535)
+                out.append((block, key[0].as_py(), [], pack(of_word, count0[at], logs.astype(np.uint16))))
+        return pa.Table.from_batches([_batch(out)]) if out else table.slice(0, 0)
 
     return run
 
@@ -419,47 +450,58 @@ def _add_up(sent):
         tokens, words = sent.value
         rows = sorted(zip(table.column("part").to_pylist(), table.column("docs").to_pylist(), table.column("body").to_pylist(), strict=True), key=lambda r: r[0])
         (_, docs, body), answers = rows[0], [unpack(r[2]) for r in rows[1:]]
-        sizes, steps = unpack(body)
-        known, logs = (np.concatenate([a[k] for a in answers]) for k in (0, 1))
-        starts = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)[:-1]])
-        at = np.cumsum(steps, dtype=np.int64)
+        sizes, steps = (x.astype(np.int64) for x in unpack(body))
+        known = np.concatenate([np.repeat(c.astype(np.int64), n.astype(np.int64)) for n, c, _ in answers])
+        logs = np.concatenate([x for _, _, x in answers]) * -LOG_STEP
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        at = np.cumsum(steps)
         at -= np.repeat(at[starts] - steps[starts], sizes)
         base = np.log10((known + 0.5) / (tokens + 0.5 * (words + 1)))
         total = lambda x: np.add.reduceat(x[at].astype(float), starts)
-        n = [sizes.astype(np.int64), total(known > 0).astype(np.int64), np.full(len(docs), int(tokens), np.int64), total(base), total(logs)]
+        n = [sizes, total(known > 0).astype(np.int64), np.full(len(docs), int(tokens), np.int64), total(base), total(logs)]
         return pa.Table.from_arrays([pa.array(docs, pa.int64()), *map(pa.array, n)], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
 
+def _free(spark) -> None:
+    """Let the driver forget finished shuffles, so that executors drop their files before the next job writes."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def score(docs: DataFrame, held_out_fold: int = 1, of: int = 5) -> DataFrame:
     """Score every row of doc_id (long) and text; rows whose fold is `held_out_fold` are scored but not learned from."""
     spark = docs.sparkSession
+    small_batches(spark)
     scratch, context = Scratch(spark), spark.sparkContext
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chars // PART_CHARS, 1)
     rows = docs.select(F.col("doc_id").cast("long"), fold("doc_id", of) != held_out_fold, "text")
-    blocks, _ = scratch.cut(rows.mapInArrow(_blocks(parts), _PACKED))
-    shares = blocks.where("part >= 0")
-    kind = F.col("docs")[0]
-    made, first = scratch.cut(shares.groupBy("part").applyInArrow(_merge(parts), _PACKED))
-    owned, _ = scratch.cut(made.where(kind == ASKED).groupBy("part").applyInArrow(_own, _PACKED))
-    summed = owned.where(kind == SUMMED)
-    history: list[np.ndarray] = []
-    swept = made
-    for number in range(BURN + AVERAGED):
-        if number:
-            swept, path = scratch.cut(made.where(kind == STATIC).unionByName(summed).groupBy("part").applyInArrow(_sweep(context.broadcast(list(history))), _PACKED))
+    made, _ = scratch.cut(rows.mapInArrow(_blocks(parts), _PACKED).groupBy("part").applyInArrow(_merge(parts), _PACKED))
+    _free(spark)
+    texts, of_parts = made.where("part < 0"), made.where("part >= 0")
+    kind, number = F.col("docs")[0], F.col("docs")[1]
+    owned, _ = scratch.cut(of_parts.where(kind == ASKED).groupBy("part").applyInArrow(_own, _PACKED))
+    summed, index = [owned.where(kind == SUMMED)], owned.where(kind == INDEX)
+    static, states, history, swept = of_parts.where(kind == STATIC), [], [], of_parts
+    for k in range(BURN + AVERAGED):
+        if k:
+            given = static.unionByName(summed[k - 1])
+            given = given.unionByName(states[-1]) if states else given
+            swept, _ = scratch.cut(given.groupBy("part").applyInArrow(_sweep(context.broadcast((k - 1, history[k - 1]))), _PACKED))
+            states.append(swept.where(kind == STATE))
+            again = index.unionByName(swept.where(kind == ASKED)).groupBy("part").applyInArrow(_own_again(k), _PACKED)
+            summed.append(scratch.cut(again)[0])
+            _free(spark)
         found = swept.where(kind == TOTALS).groupBy("part").applyInArrow(_sum, "slot int, totals array<double>")
         rows = sorted(found.collect())  # at most SLOTS rows of N_TOTALS numbers
         history.append(np.sum([r["totals"] for r in rows], axis=0) if rows else np.zeros(N_TOTALS))
-        if number:
-            again = owned.where(kind == INDEX).unionByName(swept.where(kind == ASKED))
-            summed = summed.unionByName(scratch.cut(again.groupBy("part").applyInArrow(_own_again(number), _PACKED))[0])
-            scratch.drop(path)
-    scratch.drop(first)
     tokens, words = float(history[0][-1]), float(history[0][-2])
-    answers = shares.unionByName(summed).groupBy("part").applyInArrow(_answer(context.broadcast(history)), _PACKED)
+    last = range(BURN, BURN + AVERAGED)
+    given = static.unionByName(of_parts.where(kind == PLACES)).unionByName(summed[0])
+    for k in last:
+        given = given.unionByName(summed[k]).unionByName(states[k - 1])
+    answers = given.groupBy("part").applyInArrow(_answer(context.broadcast({k: history[k] for k in last})), _PACKED)
     schema = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out = blocks.where("part < 0").unionByName(answers).groupBy("block").applyInArrow(_add_up(context.broadcast((tokens, words))), schema)
+    out = texts.unionByName(answers).groupBy("block").applyInArrow(_add_up(context.broadcast((tokens, words))), schema)
     return out.withColumn("held_out", fold("doc_id", of) == held_out_fold).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
