@@ -475,12 +475,15 @@ def score(docs: DataFrame, held_out_fold: int = 1, of: int = 5) -> DataFrame:
     small_batches(spark)
     scratch, context = Scratch(spark), spark.sparkContext
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chars // PART_CHARS, 1)
+    parts = max(chars // PART_CHARS, 1)  # by the texts alone: a block has a row for each part that it has words of
     rows = docs.select(F.col("doc_id").cast("long"), fold("doc_id", of) != held_out_fold, "text")
-    made, _ = scratch.cut(rows.mapInArrow(_blocks(parts), _PACKED).groupBy("part").applyInArrow(_merge(parts), _PACKED))
+    kind = F.col("docs")[0]
+    made = rows.mapInArrow(_blocks(parts), _PACKED).groupBy("part").applyInArrow(_merge(parts), _PACKED)
+    path = f"{scratch.root}/made"
+    made.withColumn("what", F.when(F.col("part") < 0, "texts").when(kind == PLACES, "places").otherwise("counts")).write.partitionBy("what").parquet(path)
     _free(spark)
-    texts, of_parts = made.where("part < 0"), made.where("part >= 0")
-    kind, number = F.col("docs")[0], F.col("docs")[1]
+    table = lambda what: spark.read.schema(f"{_PACKED}, what string").parquet(path).where(F.col("what") == what).drop("what")
+    texts, places, of_parts = table("texts"), table("places"), table("counts")
     owned, _ = scratch.cut(of_parts.where(kind == ASKED).groupBy("part").applyInArrow(_own, _PACKED))
     summed, index = [owned.where(kind == SUMMED)], owned.where(kind == INDEX)
     static, states, history, swept = of_parts.where(kind == STATIC), [], [], of_parts
@@ -498,10 +501,13 @@ def score(docs: DataFrame, held_out_fold: int = 1, of: int = 5) -> DataFrame:
         history.append(np.sum([r["totals"] for r in rows], axis=0) if rows else np.zeros(N_TOTALS))
     tokens, words = float(history[0][-1]), float(history[0][-2])
     last = range(BURN, BURN + AVERAGED)
-    given = static.unionByName(of_parts.where(kind == PLACES)).unionByName(summed[0])
+    given = static.unionByName(places).unionByName(summed[0])
     for k in last:
         given = given.unionByName(summed[k]).unionByName(states[k - 1])
-    answers = given.groupBy("part").applyInArrow(_answer(context.broadcast({k: history[k] for k in last})), _PACKED)
+    answers, _ = scratch.cut(given.groupBy("part").applyInArrow(_answer(context.broadcast({k: history[k] for k in last})), _PACKED))
+    scratch.drop(f"{path}/what=places")
+    scratch.drop(f"{path}/what=counts")
+    _free(spark)
     schema = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     out = texts.unionByName(answers).groupBy("block").applyInArrow(_add_up(context.broadcast((tokens, words))), schema)
     return out.withColumn("held_out", fold("doc_id", of) == held_out_fold).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -12,15 +12,18 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows turned into Python objects at once; it bounds the memory of a task, whatever the size of an Arrow batch.
 ROWS = 128
-#: Rows of an Arrow batch of whole texts: executors hold a batch, and its copy while it grows, outside the heap for each task.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch of whole texts or packed arrays: for each task an executor holds a batch, and its copy
+#: while it grows, outside the heap.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch size to `BATCH_ROWS`; a smaller one stays. Results don't depend on it."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, BATCH_ROWS)
+    """Lower the session's Arrow batch sizes to `BATCH_ROWS` and `BATCH_BYTES`; smaller ones stay. Results don't depend on them."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = int(spark.conf.get(name).rstrip("b"))
+        if not 0 < now <= most:
+            spark.conf.set(name, most)
 
 
 def map_rows(df: DataFrame, keep: list[str], inputs: list[str], work: Callable[[], Callable[..., Iterable]], out: list[tuple[str, T.DataType]]) -> DataFrame:
