@@ -25,8 +25,8 @@ that its own hash falls in owns its totals: after each sweep every part sends th
 the owners send back the sums; a context that is everywhere is one entry per part. Log probabilities move in steps of
 2**-11, so a text's score is off by about 1.4e-4 times the root of its length.
 
-Defined cases: null and empty texts are an end token alone. Words are compared by 64-bit hashes, as contexts by the
-first 48 bits of them. Every row is scored,
+Defined cases: null and empty texts are an end token alone. Words are compared by 64-bit hashes, as contexts by
+the first 40 bits of them and their class. Every row is scored,
 repeated ids included, and learned from where its fold says so. With no training text, N is 0 and every word unknown.
 """
 
@@ -44,13 +44,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, fold
-from .texts import small_batches
+from .texts import small_batches, trim
 
 U1, U2 = 64, 64 * 64
 #: Discount and strength by level: root, u1, u2, word before.
 DISCOUNT, STRENGTH = (0.55, 0.75, 0.85, 0.85), (5.0, 20.0, 20.0, 5.0)
 BURN, AVERAGED, SEED = 2, 2, 20
-BLOCK_CHARS, PART_CHARS = 6_000_000, 16_000_000
+BLOCK_CHARS, PART_CHARS = 8_000_000, 16_000_000
 END = xxhash.xxh3_64_intdigest(b"")  # no word is empty
 #: Numbers that describe all restaurants (see Part.totals), and the rows in which their sums reach the driver.
 N_TOTALS, SLOTS = 2 * U2 + U1 + 4, 32
@@ -67,9 +67,11 @@ def slim(a: np.ndarray) -> np.ndarray:
 
 
 def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays in their smallest types, all first bytes of an array's numbers before all second ones, compressed."""
     arrays = tuple(slim(a) if a.dtype.kind in "iu" and a.min(initial=0) >= 0 else a for a in arrays)
     head = b"".join(struct.pack("<3sxQ", a.dtype.str.encode()[:3], len(a)) for a in arrays)
-    return zstandard.compress(struct.pack("<I", len(arrays)) + head + b"".join(a.tobytes() for a in arrays), 3)
+    bodies = (np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T).tobytes() for a in arrays)
+    return zstandard.compress(struct.pack("<I", len(arrays)) + head + b"".join(bodies), 3)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
@@ -78,9 +80,10 @@ def unpack(data: bytes) -> list[np.ndarray]:
     at, out = 4 + 12 * n, []
     for k in range(n):
         kind, size = struct.unpack_from("<3sxQ", raw, 4 + 12 * k)
-        a = np.frombuffer(raw, np.dtype(kind.decode()), size, at)
-        at += a.nbytes
-        out.append(a)
+        kind = np.dtype(kind.decode())
+        planes = np.frombuffer(raw, np.uint8, size * kind.itemsize, at).reshape(kind.itemsize, size)
+        at += planes.nbytes
+        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(size))
     return out
 
 
@@ -124,7 +127,8 @@ def block_rows(block: int, rows: list[tuple[int | None, bool, str | None]], part
     held = np.sort(np.repeat(np.arange(len(rows)), sizes) * len(pairs) + at) % len(pairs)
     steps = np.diff(held, prepend=0).astype(np.int32)
     steps[starts] = held[starts]
-    word, before, hashes, classes = pairs // len(names), pairs % len(names), hashes[order], classes[order]
+    word, before, hashes = pairs // len(names), pairs % len(names), hashes[order]
+    named = hashes >> np.uint64(24) << np.uint64(12) | classes[order].astype(np.uint64)  # contexts: 40 bits of hash, then the class
     # a part of its own below zero, so that documents pass through the shuffle of the parts as a group
     yield block, -1 - xxhash.xxh3_64_intdigest(struct.pack("<q", block)) % (1 << 31), [i for i, _, _ in rows], pack(sizes.astype(np.uint32), steps)
     edges = np.searchsorted(part_of(hashes, parts), np.arange(parts + 1))
@@ -134,9 +138,8 @@ def block_rows(block: int, rows: list[tuple[int | None, bool, str | None]], part
         if a < b:
             x, y = cuts[p], cuts[p + 1]
             n = np.bincount(word[x:y] - a, minlength=b - a).astype(np.uint32)
-            contexts, to = np.unique(before[x:y], return_inverse=True)
-            about = np.diff(hashes[contexts] >> np.uint64(16), prepend=np.uint64(0)), classes[contexts], to
-            yield block, p, [], pack(np.diff(hashes[a:b], prepend=np.uint64(0)), n, *about, counts[x:y])
+            contexts, to = np.unique(named[before[x:y]], return_inverse=True)
+            yield block, p, [], pack(np.diff(hashes[a:b], prepend=np.uint64(0)), n, np.diff(contexts, prepend=np.uint64(0)), to, counts[x:y])
 
 
 def _batch(rows) -> pa.RecordBatch:
@@ -157,24 +160,27 @@ def _blocks(parts: int):
                         for out in block_rows(task << 32 | seen, rows, parts):
                             yield _batch([out])
                         rows, size, seen = [], 0, seen + 1
+                        trim()
         if rows:
             for out in block_rows(task << 32 | seen, rows, parts):
                 yield _batch([out])
+        rows = []
+        trim()
 
     return run
 
 
 def read_pairs(body: bytes):
-    """Hashes of a packed share's words, the word of each pair, hashes and classes of the contexts, the context of each
+    """Hashes of a packed share's words, the word of each pair, numbers and classes of the contexts, the context of each
     pair and its training count."""
-    steps, n, before, classes, context, counts = unpack(body)
-    n = n.astype(np.int64)
-    return np.cumsum(steps, dtype=np.uint64), np.repeat(np.arange(len(n)), n), np.cumsum(before, dtype=np.uint64), classes.astype(np.int64), context.astype(np.int64), counts.astype(np.int64)
+    steps, n, before, context, counts = unpack(body)
+    n, before = n.astype(np.int64), np.cumsum(before, dtype=np.uint64)
+    return np.cumsum(steps, dtype=np.uint64), np.repeat(np.arange(len(n)), n), before, (before & np.uint64(U2 - 1)).astype(np.int64), context.astype(np.int64), counts.astype(np.int64)
 
 
 class Part:
     """Seating of the words of one part. Pairs are sorted by word and context; only those with customers count.
-    `contexts` are the sorted hashes of all words before, also of those that are only asked for."""
+    `contexts` are the sorted numbers of all words before, also of those that are only asked for."""
 
     def __init__(self, number: int, hashes: np.ndarray, contexts: np.ndarray, classes: np.ndarray, pairs: np.ndarray, counts: np.ndarray):
         self.number, self.hashes, self.contexts, self.classes, self.pairs3, self.c3 = number, hashes, contexts, classes, pairs, counts
@@ -280,16 +286,17 @@ def _merge(parts: int):
         p = key[0].as_py()
         if p < 0:
             return table
+        trim()
         blocks, bodies = (table.column(k).to_pylist() for k in ("block", "body"))
         part = Part.merged(p, bodies)
         n = np.bincount(part.word3, minlength=part.n_words)
         static = pack(n, part.classes, part.context, part.c3)
         rows = [(p, p, [STATIC, 0], static), (p, p % SLOTS, [TOTALS, 0], pack(part.totals()))]
         t, c = part.by_context(part.t3), part.by_context(part.c3)
-        for q, a, b in _owners(part_of(part.contexts << np.uint64(16), parts)):
+        for q, a, b in _owners(part_of(part.contexts << np.uint64(12), parts)):
             rows.append((p, q, [ASKED, 0], pack(np.diff(part.contexts[a:b], prepend=np.uint64(0)), t[a:b], c[a:b])))
         for block, body in zip(blocks, bodies, strict=True):
-            steps, of_word, before, _, context, _ = unpack(body)
+            steps, of_word, before, context, _ = unpack(body)
             hashes, at = np.cumsum(steps, dtype=np.uint64), np.zeros(len(steps), np.int64)
             if part.n_words:
                 at = np.minimum(np.searchsorted(part.hashes, hashes), part.n_words - 1)
@@ -368,6 +375,7 @@ def _sweep(sent):
     """One more sweep of a part: its state, its totals, and for the owners the tables of its contexts."""
 
     def run(key, table):
+        trim()
         p, rows = key[0].as_py(), _rows_of(table)
         number, totals = sent.value
         part, states = _static(p, rows), _states(rows)
@@ -394,6 +402,7 @@ def _answer(sent):
     """Log probabilities of each block's pairs, the mean of the predictive ones after the last sweeps."""
 
     def run(key, table):
+        trim()
         history, rows = sent.value, _rows_of(table)
         part, states = _static(key[0].as_py(), rows), _states(rows)
         tables, customers = _context_totals(rows, len(part.contexts))
@@ -447,6 +456,7 @@ def look_up(part: Part, m: Totals, p0, p1, p2, word, u2):
 
 def _add_up(sent):
     def run(key, table):
+        trim()
         tokens, words = sent.value
         rows = sorted(zip(table.column("part").to_pylist(), table.column("docs").to_pylist(), table.column("body").to_pylist(), strict=True), key=lambda r: r[0])
         (_, docs, body), answers = rows[0], [unpack(r[2]) for r in rows[1:]]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -26,6 +28,13 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(name, most)
 
 
+def trim() -> None:
+    """Give what this Python process has freed back to the system, where its C library can. Workers stay between tasks, and
+    what they keep for themselves counts against their executor."""
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_rows(df: DataFrame, keep: list[str], inputs: list[str], work: Callable[[], Callable[..., Iterable]], out: list[tuple[str, T.DataType]]) -> DataFrame:
     """Columns `keep` as they are, and `out` from work()(*inputs) for each row. `work` runs once a task and gives the row function."""
     small_batches(df.sparkSession)
