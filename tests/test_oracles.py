@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from skerry.plans import catalog, catalog_functions, catalog_models  # noqa: F401
+from skerry.plans import catalog, catalog_functions, catalog_models, catalog_more  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
