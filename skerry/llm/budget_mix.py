@@ -8,7 +8,7 @@ a child's means are those of its whole subtree, this is one division per level:
 weight, those in front are filled up and the others get equal amounts per weight, found by running sums.
 
 A leaf takes whole epochs while its budget lasts and from the next one a prefix: the documents of that epoch in the
-order of a seeded hash, as long as their running sum of tokens stays within what is left. The order is cut into `SLICES`
+order of a seeded hash of id and text, as long as their running sum of tokens stays within what is left. The order is cut into `SLICES`
 ranges of the hash; slices are summed before any shuffle, and only the documents of the one slice in which a leaf's
 prefix ends are put in order. So a leaf that holds a third of all documents is never in one task.
 
@@ -94,7 +94,7 @@ def mix(docs: DataFrame, tree: list[str], tokens: Column, weights: dict[str, flo
     plan, _ = scratch.cut(plan.withColumn("leaf", F.monotonically_increasing_id()))
     leaf = small(plan.select(*[F.col(c).alias(f"p_{c}") for c in tree], "leaf", "whole", "rest"), 20_000)
     x = x.join(leaf, same(tree, "p_")).drop(*[f"p_{c}" for c in tree])
-    x = x.withColumn("h", F.xxhash64(F.lit(seed), "whole", "order_id").bitwiseAND(F.lit((1 << 63) - 1)))
+    x = x.withColumn("h", F.xxhash64(F.lit(seed), "whole", "order_id", "row.text").bitwiseAND(F.lit((1 << 63) - 1)))
     x = x.withColumn("slice", F.shiftright("h", 51))
     sums = x.where("rest > 0").groupBy("leaf", "slice").agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"))
     before = F.sum("n").over(Window.partitionBy("leaf").orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow))

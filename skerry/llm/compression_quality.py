@@ -11,7 +11,9 @@ under 1 MB, is broadcast.
 
 Defined cases: null texts are empty ones; an empty text has differences of 0 and the score that follows. Labels that
 are null or whose document is missing are not used; of several labels of one document the least counts. With under
-`LEAST` documents of either class there is no dictionary, and every score is the smoothed share of good labels.
+`LEAST` documents of either class (one to learn from and one to calibrate by) nothing can be told apart, and every score
+is the smoothed share of good labels. Every row is scored for itself, repeated ids too; ties of the sample's order go to
+the smaller id, and other columns play no part.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from .common import fold
 from .texts import map_rows
 
 CHUNK, LEVEL, DICTIONARY = 512, 3, 112 * 1024
-PER_CLASS, MAX_CHARS, LEAST = 3000, 20_000, 8
+PER_CLASS, MAX_CHARS, LEAST = 3000, 20_000, 2
 
 
 def chunks(text: str) -> list[bytes]:

@@ -45,6 +45,36 @@ def test_quality_without_labels(spark):
     assert compression_quality.held_out_scores(nasty(spark).where("false"), labels).count() == 0
 
 
+def test_quality_scores_brute_force(spark):
+    """Scores recomputed from the dictionaries and weights alone, one chunk at a time, and the same from few labels."""
+    import zstandard
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(nasty(spark).select("doc_id", "text"))
+    train = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 != 0
+    for least in (None, 2):
+        labels = spark.read.parquet(f"{sf}/labels.parquet")
+        if least:
+            labels = labels.where(train & (F.col("quality") == 0)).orderBy("doc_id").limit(least).union(labels.where(train & (F.col("quality") == 1)).orderBy("doc_id").limit(least))
+        model = compression_quality.fit(docs, labels, train)
+        assert model.weights
+
+        def size(dictionary, chunk):
+            return len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary)).compress(chunk))
+
+        want = []
+        for r in docs.collect():
+            data = (r["text"] or "").encode()
+            parts = [data[i : i + 512] for i in range(0, len(data), 512)][:200]
+            d = [((x := size(model.bad, c)) - (y := size(model.good, c))) / (x + y) for c in parts]
+            if len(data) <= 512 * 200:
+                mean = sum(v * len(c) for v, c in zip(d, parts, strict=True)) / len(data) if data else 0.0
+                z = model.weights[0] + model.weights[1] * mean + model.weights[2] * min(d, default=0.0)
+                want.append((str(r["doc_id"]), len(data), round(1 / (1 + math.exp(-z)), 9)))
+        got = [(str(r["doc_id"]), len((r["text"] or "").encode()), round(r["score"], 9)) for r in compression_quality.score(docs, model, ["doc_id", "text"]).collect()]
+        assert Counter(want) == Counter(g for g in got if g[1] <= 512 * 200) and len(got) == docs.count()
+
+
 def test_logistic_separates():
     x = np.array([[-1.0], [-0.8], [0.9], [1.1], [0.1]])
     w = compression_quality.logistic(x, np.array([0, 0, 1, 1, 0.0]), np.ones(5))
