@@ -26,11 +26,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .texts import map_rows
+from .texts import map_rows, trim
 
 #: Pieces and moves kept before they are dropped and found anew; this bounds memory (to 0.4 GB and 0.15 GB a worker), not results.
-KEPT, KEPT_LESS = (800_000, 700_000), (60_000, 400_000)
-KEPT_FITS = 100_000
+KEPT, KEPT_LESS = (800_000, 700_000), (40_000, 300_000)
+KEPT_FITS = 60_000
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -294,6 +294,14 @@ class Tokenizer:
     def decode(self, ids) -> str:
         return self.machine.decode(ids)
 
+    def forget(self) -> None:
+        """Drop pieces, moves and fits; they are found anew."""
+        self.pieces.clear()
+        self.pieces.aside = {}
+        self.transducer._reset()
+        self.transducer.fit.clear()
+        trim()
+
 
 @functools.lru_cache(maxsize=2)
 def _built(data: bytes, pattern: str, kept: tuple[int, int]) -> Tokenizer:
@@ -301,8 +309,17 @@ def _built(data: bytes, pattern: str, kept: tuple[int, int]) -> Tokenizer:
 
 
 def _worker(data, pattern: str, kept: tuple[int, int], row):
-    """A row function over the tokenizer of this Python process, built once."""
-    return lambda: functools.partial(row, _built(data.value, pattern, kept))
+    """A row function over the tokenizer of this Python process, built once. One that keeps less forgets all it has kept at a
+    task's end: its process may wait through stages that need the memory."""
+
+    def work():
+        tokenizer = _built(data.value, pattern, kept)
+        made = functools.partial(row, tokenizer)
+        if kept == KEPT_LESS:
+            made.close = tokenizer.forget
+        return made
+
+    return work
 
 
 def _digest(tokenizer: Tokenizer, text: str | None):

@@ -36,7 +36,8 @@ def trim() -> None:
 
 
 def map_rows(df: DataFrame, keep: list[str], inputs: list[str], work: Callable[[], Callable[..., Iterable]], out: list[tuple[str, T.DataType]]) -> DataFrame:
-    """Columns `keep` as they are, and `out` from work()(*inputs) for each row. `work` runs once a task and gives the row function."""
+    """Columns `keep` as they are, and `out` from work()(*inputs) for each row. `work` runs once a task and gives the row function;
+    that one's `close`, if there is one, is called at the task's end."""
     small_batches(df.sparkSession)
     held = [f"k{i}" for i in range(len(keep))]
     given = [f"x{i}" for i in range(len(inputs))]
@@ -55,6 +56,8 @@ def map_rows(df: DataFrame, keep: list[str], inputs: list[str], work: Callable[[
                 columns += [pa.array(values, f.type) for values, f in zip(zip(*rows, strict=True), list(arrow)[len(held) :], strict=True)]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
             pool.release_unused()
+        if hasattr(row, "close"):
+            row.close()
 
     result = source.mapInArrow(run, schema)
     return result.select(*[F.col(h).alias(c) for c, h in zip(keep, held, strict=True)], *[n for n, _ in out])
