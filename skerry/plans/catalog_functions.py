@@ -11,12 +11,20 @@ from skerry.operators import aggregates, fields, filters, fitting, graph, images
 from skerry.plans.catalog import D2, P, R, micros, one, points, query, r6, t
 from skerry.plans.catalog_models import _EDGES, _FACES, _GOOD, _good, _mesh, _near_edges, _segments
 
-A, B = V.vec("x", "y", "z"), V.vec("nx", "ny", "nz")
+
+
+def place():
+    return V.vec("x", "y", "z")
+
+
+def normal():
+    return V.vec("nx", "ny", "nz")
+
 _SEG = f"WITH {P}, s AS (SELECT pid, x AS x1, y AS y1, z AS x2, nx AS y2, 0.1 AS u1, ny AS v1, nz AS u2, 0.2 AS v2 FROM p)"
 
 
 def vectors(spark, sf_dir):
-    return points(spark, sf_dir).select("pid", "x", "y", "z", A.alias("a"), B.alias("b"))
+    return points(spark, sf_dir).select("pid", "x", "y", "z", place().alias("a"), normal().alias("b"))
 
 
 def cells(name: str, c, names: str = "xyz") -> list:
@@ -152,7 +160,7 @@ def matrix_functions(spark, sf_dir):
     """Determinant of rows (x y z), (nx y z), (nx ny nz); the skew matrix of a point; and that an inverse is one."""
     m = F.array("x", "y", "z", "nx", "y", "z", "nx", "ny", "nz")
     good = F.array(*[F.lit(v) + F.col(c) for v, c in zip((3.0, 0.0, 0.0, 0.0, 3.0, 0.0, 0.0, 0.0, 3.0), ("x", "y", "z", "nx", "y", "z", "nx", "ny", "nz"), strict=True)])
-    x = points(spark, sf_dir).select("pid", m.alias("m"), good.alias("g"), A.alias("a"), B.alias("b")).withColumn("i", camera.inverse(F.col("g")))
+    x = points(spark, sf_dir).select("pid", m.alias("m"), good.alias("g"), place().alias("a"), normal().alias("b")).withColumn("i", camera.inverse(F.col("g")))
     back = camera.rotate(F.col("i"), camera.rotate(F.col("g"), F.col("a")))
     s = camera.skew(F.col("a"))
     return x.select("pid", r6(camera.determinant(F.col("m"))).alias("det"), *[r6(F.get(s, F.lit(k))).alias(f"s{k}") for k in (1, 2, 5)], (V.distance(back, F.col("a")) < 1e-9).alias("inverse"))
@@ -204,7 +212,7 @@ def colour_tables(spark, sf_dir):
 @query(f"""WITH {P}, n AS (SELECT pid, x, y, CASE WHEN nz < 0 THEN -1 ELSE 1 END AS up, nx, ny, nz, sqrt(nx*nx+ny*ny+nz*nz) AS l FROM p), a AS (SELECT *, degrees(atan2(nx*up, ny*up)) AS d FROM n)
 SELECT pid, {R('CASE WHEN d < 0 THEN d+360 ELSE d END')} AS h, {R('degrees(acos(least(1,abs(nz)/l)))/90')} AS s, {R('x*0.75+nx*0.25')} AS b0, {R('y*0.75+ny*0.25')} AS b1 FROM a""")
 def colour_of_normals(spark, sf_dir):
-    h = colour.hsv_of_normal(B)
+    h = colour.hsv_of_normal(normal())
     b = colour.blend_images(F.array("x", "y"), F.array("nx", "ny"), 0.25)
     return points(spark, sf_dir).select("pid", r6(h.h).alias("h"), r6(h.s).alias("s"), r6(F.get(b, F.lit(0))).alias("b0"), r6(F.get(b, F.lit(1))).alias("b1"))
 
@@ -308,9 +316,9 @@ def nested_pair_items(spark, sf_dir):
     return x.select("a", "b", F.size("items").cast("long").alias("items"), F.get("items", F.lit(0)).o.alias("first"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size - 3 > 0 THEN 1 + floor((p_size - 3) / 2.5 + 0.5) END::BIGINT AS n FROM part""")
+@query("""SELECT p_partkey, coalesce(CASE WHEN p_size - 3 > 0 THEN 1 + floor((p_size - 3) / 2.5 + 0.5) END::BIGINT, -1) AS n FROM part""")
 def grid_sizes(spark, sf_dir):
-    return t(spark, sf_dir, "part").select("p_partkey", aggregates.grid_size(F.col("p_size") - 3.0, 2.5).alias("n"))
+    return t(spark, sf_dir, "part").select("p_partkey", F.coalesce(aggregates.grid_size(F.col("p_size") - 3.0, 2.5), F.lit(-1)).cast("long").alias("n"))
 
 
 @query("""WITH r AS (SELECT DISTINCT event_id FROM events WHERE value > 0), x AS (SELECT row_number() OVER (ORDER BY value, event_id) AS r, value FROM events)
@@ -397,9 +405,9 @@ def vertex_classes(spark, sf_dir):
     return mesh.vertex_classes(_good(spark, sf_dir)[1])
 
 
-@query(f"WITH {_FACES}, {_GOOD}, {_EDGES} SELECT d.fid, d.a, d.b, min(o.fid) AS opposite FROM d LEFT JOIN d o ON o.a = d.b AND o.b = d.a GROUP BY d.fid, d.a, d.b")
+@query(f"WITH {_FACES}, {_GOOD}, {_EDGES} SELECT d.fid, d.a, d.b, coalesce(min(o.fid), -1) AS opposite FROM d LEFT JOIN d o ON o.a = d.b AND o.b = d.a GROUP BY d.fid, d.a, d.b")
 def half_edges(spark, sf_dir):
-    return mesh.half_edges(_good(spark, sf_dir)[1]).select("fid", "a", "b", "opposite")
+    return mesh.half_edges(_good(spark, sf_dir)[1]).select("fid", "a", "b", F.coalesce("opposite", F.lit(-1).cast("long")).alias("opposite"))
 
 
 @query(f"""WITH {_FACES}, {_GOOD}, {_EDGES}, e AS (SELECT DISTINCT fid, least(a, b) AS a, greatest(a, b) AS b FROM d) SELECT p.fid AS f1, q.fid AS f2, p.a, p.b FROM e p JOIN e q ON p.a = q.a AND p.b = q.b AND p.fid < q.fid AND p.fid % 3 <> q.fid % 3""")
@@ -526,7 +534,7 @@ def rigid_motion(spark, sf_dir):
     """A motion laid on the points is found again."""
     p = points(spark, sf_dir)
     q = camera.similarity(turn(), V.vec(0.1, -0.2, 0.5), 1.5, F.col("a"))
-    pairs = p.select(A.alias("a")).select("a", q.alias("q")).select(*[F.col(f"a.{c}").alias(f"a{c}") for c in "xyz"], *[F.col(f"q.{c}").alias(f"b{c}") for c in "xyz"])
+    pairs = p.select(place().alias("a")).select("a", q.alias("q")).select(*[F.col(f"a.{c}").alias(f"a{c}") for c in "xyz"], *[F.col(f"q.{c}").alias(f"b{c}") for c in "xyz"])
     r, shift, s, rms = fitting.rigid_transform(pairs, scaled=True)
     near = lambda got, want: all(abs(float(a) - b) < 1e-9 for a, b in zip(got, want, strict=True))
     return one(spark, turned=near(r.ravel(), TURN), shifted=near(shift, (0.1, -0.2, 0.5)), scaled=near([s], [1.5]), exact=rms < 1e-6)
@@ -605,7 +613,7 @@ def nested_views(spark, sf_dir):
 def nearest_hits(spark, sf_dir):
     """Rays upwards against five large triangles that lie over each other."""
     p = points(spark, sf_dir)
-    rays = p.select(F.col("pid").alias("ray_id"), "label", A.alias("origin"), V.vec(0.0, 0.0, 1.0).alias("direction"))
+    rays = p.select(F.col("pid").alias("ray_id"), "label", place().alias("origin"), V.vec(0.0, 0.0, 1.0).alias("direction"))
     h = -0.4 + 0.2 * F.col("face_id")
     faces = p.select("label").distinct().withColumn("face_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))))
     faces = faces.select("label", "face_id", V.vec(F.lit(-1.0), F.lit(-1.0), h).alias("a"), V.vec(F.lit(9.0), F.lit(-1.0), h).alias("b"), V.vec(F.lit(-1.0), F.lit(9.0), h).alias("c"))

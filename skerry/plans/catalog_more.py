@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skerry.functions import vectors as V
 from skerry.operators import adjust, levels, shapes, spatial
 from skerry.plans.catalog import D2, P, R, one, points, query, r6, t
-from skerry.plans.catalog_functions import _TRI, A, B, cells, spread, turn, vectors
+from skerry.plans.catalog_functions import _TRI, cells, place, spread, turn, vectors
 from skerry.plans.catalog_models import _EDGES, _FACES, _GOOD, _good, _mesh
 from skerry.plans.iterate import Scratch
 
@@ -183,9 +183,9 @@ def shape_scores(spark, sf_dir):
     return shapes.weighted_score(p, "sphere", a, 0.1).select(r6("score").alias("score")).crossJoin(F.broadcast(same))  # one row each
 
 
-@query(f"WITH {P}, e AS (SELECT min(0.6*x+0.8*y) AS u0, max(0.6*x+0.8*y) AS u1, min(z) AS v0, max(z) AS v1 FROM p) SELECT u0, u1, v0, v1, (floor((u1-u0)/0.05)+1)::BIGINT AS nu, (floor((v1-v0)/0.05)+1)::BIGINT AS nv FROM e")
+@query(f"WITH {P}, e AS (SELECT min(0.6*x+0.8*y) AS u0, max(0.6*x+0.8*y) AS u1, min(z) AS v0, max(z) AS v1 FROM p) SELECT round(u0, 6) + 0.0 AS u0, round(u1, 6) + 0.0 AS u1, round(v0, 6) + 0.0 AS v0, round(v1, 6) + 0.0 AS v1, (floor((u1-u0)/0.05)+1)::BIGINT AS nu, (floor((v1-v0)/0.05)+1)::BIGINT AS nv FROM e")
 def plane_bitmap(spark, sf_dir):
-    return shapes.plane_bitmap(points(spark, sf_dir), (0.6, 0.8, 0.0), (0.0, 0.0, 1.0), 0.05).select(*[F.round(c, 9).alias(c) for c in ("u0", "u1", "v0", "v1")], "nu", "nv")
+    return shapes.plane_bitmap(points(spark, sf_dir), (0.6, 0.8, 0.0), (0.0, 0.0, 1.0), 0.05).select(*[r6(c).alias(c) for c in ("u0", "u1", "v0", "v1")], "nu", "nv")
 
 
 @query("WITH g AS (SELECT unnest(range(6)) AS i), h AS (SELECT unnest(range(6)) AS j), q AS (SELECT p_partkey AS k, p_size / 10.0 AS c FROM part WHERE p_size > 40) SELECT k, i::INT AS i, j::INT AS j, round(c + 2*(-1+2*i/5.0) - (-1+2*j/5.0) + c*power(-1+2*i/5.0,2) + 0.5*(-1+2*i/5.0)*(-1+2*j/5.0) - c*power(-1+2*j/5.0,2), 6) + 0.0 AS z FROM q, g, h")
@@ -201,7 +201,7 @@ _CAM = f"WITH {P}, q AS (SELECT pid, 0.8*x-0.6*y AS rx, 0.6*x+0.8*y AS ry, z AS
 
 
 def _seen(spark, sf_dir):
-    r = adjust.point_residual(turn(), V.vec(0.1, -0.2, 1.5), 500.0, 320.0, 240.0, A, 300.0 + 10.0 * F.col("nx"), 200.0 + 10.0 * F.col("ny"))
+    r = adjust.point_residual(turn(), V.vec(0.1, -0.2, 1.5), 500.0, 320.0, 240.0, place(), 300.0 + 10.0 * F.col("nx"), 200.0 + 10.0 * F.col("ny"))
     return points(spark, sf_dir).select("pid", "label", r.alias("r")).select("pid", "label", "r.*")
 
 
@@ -220,7 +220,7 @@ def normal_blocks(spark, sf_dir):
 
 @query(f"{_CAM} SELECT pid, {R('0.6*(500*a/c+320)+0.8*(500*b/c+240)-350')} AS d0, {R('0.6*(500*0.1/1.5+320)+0.8*(500*-0.2/1.5+240)-350')} AS d1 FROM q")
 def line_residuals(spark, sf_dir):
-    r = adjust.line_residual(turn(), V.vec(0.1, -0.2, 1.5), 500.0, 320.0, 240.0, A, V.vec(0.0, 0.0, 0.0), F.lit(0.6), F.lit(0.8), F.lit(-350.0))
+    r = adjust.line_residual(turn(), V.vec(0.1, -0.2, 1.5), 500.0, 320.0, 240.0, place(), V.vec(0.0, 0.0, 0.0), F.lit(0.6), F.lit(0.8), F.lit(-350.0))
     return points(spark, sf_dir).select("pid", r.alias("r")).select("pid", r6("r.d0").alias("d0"), r6("r.d1").alias("d1"))
 
 
@@ -327,7 +327,7 @@ def sparse_round_trip(spark, sf_dir):
 def camera_round_trip(spark, sf_dir):
     from skerry.sources import tables
 
-    x = points(spark, sf_dir).select("pid", tables.camera_text(A, turn(), F.lit(1.5)).alias("text"))
+    x = points(spark, sf_dir).select("pid", tables.camera_text(place(), turn(), F.lit(1.5)).alias("text"))
     x = x.select("pid", tables.parsed_camera(F.col("text")).alias("c"))
     return x.select("pid", r6("c.t.x").alias("x"), r6("c.t.y").alias("y"), r6("c.t.z").alias("z"), F.col("c.f").alias("f"))
 
