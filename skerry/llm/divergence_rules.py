@@ -5,7 +5,9 @@ of the commonest words of its language over its words. Each is compared with its
 Jensen-Shannon distance (base 2, so 0 to 1). The references are counted over all texts: the common words are the
 `n_words` words found in most documents of the language, and a reference histogram is the mean of its documents'
 histograms, so that one long text weighs no more than another. A text is kept when it passes the base rules and both
-distances are under their limits; a histogram is judged only when the text is long enough for it.
+distances are under their limits; a histogram is judged only when the text is long enough for it. A histogram of n draws
+strays from its source by about 1/sqrt(n), so each limit is a floor plus a part that shrinks with the square root of the
+words or characters: short texts aren't blamed for noise, and long ones are held to more.
 
 Defined cases: a null text is an empty one (no words: base_failed, not kept). A null language is a language of its
 own. A language with fewer than `min_docs` texts has no reference of its own and is held against the pool of all
@@ -24,10 +26,11 @@ from .common import WORD, Scratch, let, small
 CLASSES = (r"\p{Ll}", r"\p{Lu}", r"[\p{L}\p{M}&&[^\p{Lu}\p{Ll}]]", r"\p{Nd}", r"[.,]", r"[#*$%&|<>]", r"[!?:;'\"()\-]")
 #: The class that is also the contract's symbol count.
 SYMBOL_CLASS = 5
-MAX_CLASS_DISTANCE = 0.30
-MAX_WORD_DISTANCE = 0.25
+#: Limits: a floor and what is divided by the square root of characters or words; the class limit has a ceiling too.
+CLASS_FLOOR, CLASS_NOISE, MAX_CLASS_DISTANCE = 0.09, 4.4, 0.30
+WORD_FLOOR, WORD_NOISE = 0.10, 1.6
 MIN_CHARS = 200
-MIN_WORDS = 100
+MIN_WORDS = 50
 MIN_DOCS = 20
 N_WORDS = 12
 
@@ -164,7 +167,9 @@ def judge(docs: DataFrame, n_words: int = N_WORDS, min_docs: int = MIN_DOCS) ->
     by_word = F.when(F.size("word_share") == F.size("word_ref"), js_distance(F.col("word_share"), F.col("word_ref")))
     x = x.withColumn("class_distance", F.when(F.col("word_chars") >= MIN_CHARS, by_class))
     x = x.withColumn("word_distance", F.when(F.col("n_words") >= MIN_WORDS, by_word))
-    near = (F.coalesce("class_distance", F.lit(0.0)) <= MAX_CLASS_DISTANCE) & (F.coalesce("word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE)
+    class_limit = F.least(F.lit(MAX_CLASS_DISTANCE), F.lit(CLASS_FLOOR) + F.lit(CLASS_NOISE) / F.sqrt("word_chars"))
+    word_limit = F.lit(WORD_FLOOR) + F.lit(WORD_NOISE) / F.sqrt("n_words")
+    near = F.coalesce(F.col("class_distance") <= class_limit, F.lit(True)) & F.coalesce(F.col("word_distance") <= word_limit, F.lit(True))
     return x.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (good & near).alias("kept"), "class_distance", "word_distance",

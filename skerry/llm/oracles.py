@@ -4,7 +4,7 @@ suits the sizes at which queries are compared; ids are taken to be unique and no
 from __future__ import annotations
 
 from .chosen_path import LEAST, WORDS
-from .divergence_rules import MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MIN_CHARS, MIN_DOCS, MIN_WORDS, N_WORDS
+from .divergence_rules import CLASS_FLOOR, CLASS_NOISE, MAX_CLASS_DISTANCE, MIN_CHARS, MIN_DOCS, MIN_WORDS, N_WORDS, WORD_FLOOR, WORD_NOISE
 from .reply_trees import CONTROL
 
 BLANK = r"[\x20\x09-\x0D]+"
@@ -41,8 +41,8 @@ g AS (SELECT lang, [{', '.join(f'avg(cs[{i + 1}])' for i in range(len(_CLASSES)
  FROM s WHERE NOT base_failed GROUP BY lang HAVING count(*) >= {MIN_DOCS}),
 p AS (SELECT [{', '.join(f'avg(cs[{i + 1}])' for i in range(len(_CLASSES) + 1))}] AS pool FROM s WHERE NOT base_failed)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words, base_failed, NOT base_failed
- AND coalesce(CASE WHEN word_chars >= {MIN_CHARS} THEN {_js('cs', 'coalesce(cref, pool)')} END, 0) <= {MAX_CLASS_DISTANCE}
- AND coalesce(CASE WHEN n_words >= {MIN_WORDS} AND len(wsh) = len(wref) THEN {_js('wsh', 'wref')} END, 0) <= {MAX_WORD_DISTANCE} AS kept
+ AND coalesce(CASE WHEN word_chars >= {MIN_CHARS} THEN {_js('cs', 'coalesce(cref, pool)')} <= least({MAX_CLASS_DISTANCE}, {CLASS_FLOOR} + {CLASS_NOISE} / sqrt(word_chars)) END, true)
+ AND coalesce(CASE WHEN n_words >= {MIN_WORDS} AND len(wsh) = len(wref) THEN {_js('wsh', 'wref')} <= {WORD_FLOOR} + {WORD_NOISE} / sqrt(n_words) END, true) AS kept
 FROM s LEFT JOIN g ON g.lang IS NOT DISTINCT FROM s.lang CROSS JOIN p"""
 
 _ESCAPED = lambda c: f"regexp_replace(replace({c}, '\\', '\\\\'), '{CONTROL}', '\\1\\\\\\2', 'g')"
