@@ -13,9 +13,9 @@ The comparison is exact: intersection sizes of the whole shingle sets in each ce
 bucket only, and no pairs are written, only counts and component edges per class.
 
 Defined cases: a text of one to four words is one shingle of them all; one without words (null, empty, blank) has no
-shingles and links with nothing. Words keep their case. Repeated rows are members of their class. A set that only
-rows with null ids have links with its copies alone. All rows with the smallest id of a component are kept here;
-`first_of_each` keeps one of them.
+shingles and links with nothing. Words keep their case. Repeated rows are members of their class. Rows with null ids
+link like others; their class is named by the smallest id in it, and is null if it has none. All rows with the smallest
+id of a component are kept here; `first_of_each` keeps one of them.
 """
 
 from __future__ import annotations
@@ -86,7 +86,7 @@ def _described(batches):
                 low.append(two)
                 size.append(len(s))
                 values.append(min_hashes(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(size, pa.int64()), pa.array(values, pa.list_(pa.int64()))], ["doc_id", "high", "low", "size", "values"])
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(size, pa.int64()), pa.array(values, pa.list_(pa.int64())), piece.column(2)], ["doc_id", "high", "low", "size", "values", "hash"])
 
 
 def digest(values: np.ndarray) -> tuple[int, int]:
@@ -191,14 +191,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    seen, _ = scratch.cut(rows.mapInArrow(_described, "doc_id long, high long, low long, size long, values array<long>"))
+    hashed = rows.withColumn("hash", F.xxhash64("text"))
+    seen, _ = scratch.cut(hashed.mapInArrow(_described, "doc_id long, high long, low long, size long, values array<long>, hash long"))
     some = seen.where("size > 0")
-    classes = some.groupBy("high", "low").agg(F.min("doc_id").alias("least"), F.count("*").alias("m"), F.any_value("size").alias("size"), F.any_value("values").alias("values"))
+    classes = some.groupBy("high", "low").agg(F.min("doc_id").alias("least"), F.count("*").alias("m"), F.any_value("size").alias("size"), F.any_value("values").alias("values"), F.min("hash").alias("hash"))
     classes, _ = scratch.cut(classes.withColumn("rep", F.monotonically_increasing_id()))
     cells, _ = scratch.cut(buckets(scratch, classes))
-    wanted = classes.select("rep", "m", F.col("least").alias("doc_id"), "high", "low").where("doc_id is not null").join(in_buckets(cells), "rep")
+    wanted = classes.select("rep", "m", F.col("least").alias("doc_id"), "hash", "high", "low").join(in_buckets(cells), "rep")
     wanted, _ = scratch.cut(wanted)  # a class is in RUNS * BRANCHES^DEPTH buckets at most
-    held = rows.join(small(wanted, 200_000), "doc_id").select("rep", "m", "high", "low", "buckets", "text")
+    named, nameless = wanted.where("doc_id is not null").drop("hash"), wanted.where("doc_id is null").drop("doc_id")
+    held = rows.join(small(named, 200_000), "doc_id").select("rep", "m", "high", "low", "buckets", "text")
+    if nameless.limit(1).count():  # sets of rows without any id: one of the texts, which are told by their hash
+        texts = hashed.where("doc_id is null").groupBy("hash").agg(F.any_value("text").alias("text"))
+        held = held.union(texts.join(small(nameless, 200_000), "hash").select("rep", "m", "high", "low", "buckets", "text"))
     held = held.mapInArrow(_sets, "rep long, m long, buckets array<struct<key:bigint,blocks:int>>, set array<long>")
     found, _ = scratch.cut(into_cells(held).mapInArrow(_compare, FOUND))
     told = classes_linked(scratch, classes.select("rep", "least", "m"), found)

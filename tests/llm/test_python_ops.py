@@ -379,6 +379,15 @@ def test_near_duplicates_odd_rows(spark):
     assert chosen_path.near_duplicates(docs.where("false")).count() == 0 and chosen_path.first_of_each(docs.where("false")).count() == 0
 
 
+def test_rows_without_ids_link_like_others(spark):
+    base = [f"w{i}" for i in range(200)]
+    near = lambda k: " ".join(base[:k] + ["other"] + base[k + 1 :])
+    rows = [(None, near(199)), (None, near(199)), (8, " ".join(base)), (None, "x y z"), (None, near(0)), (9, None)]
+    got = chosen_path.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    told = sorted((str(r["doc_id"]), str(r["class_id"]), r["n_links"], r["kept"]) for r in got)
+    assert told == [("8", "8", 3, True), ("9", "9", 0, True), ("None", "8", 3, False), ("None", "8", 3, False), ("None", "8", 3, False), ("None", "None", 0, False)]
+
+
 def test_large_buckets_split_into_cells(spark, monkeypatch):
     from skerry.llm import cells
 
