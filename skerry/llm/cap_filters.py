@@ -124,7 +124,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     width = max(16, math.ceil(math.sqrt(n * TAKEN / BUCKET)))
     coded = classes.select("rep", "v").mapInArrow(_filters(width), "rep long, filters array<long>")
     members, _ = scratch.cut(coded.select(F.explode("filters").alias("key"), "rep"))
-    dealt = into_cells(classes.select("rep", "m", "v").join(in_buckets(members), "rep"))
+    dealt = into_cells(classes.select("rep", "m", "v").join(in_buckets(scratch, members), "rep"))
     found, _ = scratch.cut(dealt.mapInArrow(_verify(least), FOUND))
     told, _ = scratch.cut(classes_linked(scratch, classes.select("rep", "least", "m"), found))
     linked = good.join(classes.select("v", "rep"), "v").join(told, "rep").select("vec_id", "n_links", "component_id")

@@ -9,17 +9,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components
+from .common import Scratch, components, small
 
 #: Rows of a bucket per block; a cell holds two blocks at most.
 BLOCK = 1024
+#: Crowded buckets that are broadcast at most, some 24 bytes each; as many are in 100,000 * BLOCK members at least.
+CROWDED = 100_000
 
 
-def in_buckets(members: DataFrame, block: int = BLOCK) -> DataFrame:
+def with_counts(members: DataFrame, n: DataFrame, bound: int = BLOCK) -> DataFrame:
+    """members (key, rep) joined with the counts (key, n, ...) of their buckets. The crowded buckets, of more than `bound`
+    members, are few: they are broadcast (if counted to be), so their members stay where they are; only the members of
+    the others are shuffled by key. `n` is read three times, so it should be a written table."""
+    crowded = small(n.where(F.col("n") > bound), CROWDED)
+    others = members.join(crowded.select("key"), "key", "left_anti").join(n.where(F.col("n") <= bound), "key")
+    return members.join(crowded, "key").unionByName(others)
+
+
+def in_buckets(scratch: Scratch, members: DataFrame, block: int = BLOCK) -> DataFrame:
     """(rep, buckets): of members (key, rep), for each rep the keys it shares with another, each with the number of blocks
     its bucket is cut into. Only ids move here; what is to be compared is dealt once, by `into_cells`."""
-    n = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    return members.join(n, "key").groupBy("rep").agg(F.collect_list(F.struct("key", "blocks")).alias("buckets"))
+    n, _ = scratch.cut(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    blocks = F.ceil(F.col("n") / block).cast("int").alias("blocks")
+    return with_counts(members, n, block).groupBy("rep").agg(F.collect_list(F.struct("key", blocks)).alias("buckets"))
 
 
 def into_cells(rows: DataFrame) -> DataFrame:

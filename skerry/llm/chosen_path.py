@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cells import FOUND, classes_linked, count_links, groups, in_buckets, into_cells, lists, shared_before
+from .cells import FOUND, classes_linked, count_links, groups, in_buckets, into_cells, lists, shared_before, with_counts
 from .common import Scratch, small
 from .texts import small_batches
 
@@ -117,9 +117,9 @@ def buckets(scratch: Scratch, classes: DataFrame) -> DataFrame:
         n, _ = scratch.cut(n)
         large = n.where(F.col("n") > SMALL)
         if depth == DEPTH or large.limit(1).count() == 0:
-            done.append(now.join(n, "key").select("key", "rep", "n", "who"))
+            done.append(with_counts(now, n).select("key", "rep", "n", "who"))
             break
-        going = now.join(large.select("key", "n"), "key").join(classes.select("rep", "values"), "rep")
+        going = with_counts(now, large.select("key", "n"), SMALL).join(classes.select("rep", "values"), "rep")
         going = going.withColumn("branch", F.explode(F.sequence(F.lit(0), F.lit(BRANCHES - 1))))
         pick = F.pmod(F.xxhash64("key", "branch"), F.lit(VALUES - RUNS)) + RUNS
         child = F.xxhash64("key", "branch", F.get("values", pick.cast("int")))
@@ -129,7 +129,8 @@ def buckets(scratch: Scratch, classes: DataFrame) -> DataFrame:
         mean = size.groupBy("parent", "of").agg((F.sum(F.col("c") * F.col("c"))).alias("s")).where(F.col("s") >= ALIKE * BRANCHES * F.col("of") * F.col("of"))
         alike, _ = scratch.cut(mean.select("parent"))
         ready = n.where(F.col("n") <= SMALL).unionByName(n.join(alike.withColumnRenamed("parent", "key"), "key", "left_semi"))
-        done.append(now.join(ready, "key").select("key", "rep", "n", "who"))
+        ready, _ = scratch.cut(ready)
+        done.append(with_counts(now, ready).select("key", "rep", "n", "who"))
         now, _ = scratch.cut(kids.join(alike, "parent", "left_anti").select("rep", "key"))
     found = done[0]
     for more in done[1:]:
@@ -197,7 +198,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     classes = some.groupBy("high", "low").agg(F.min("doc_id").alias("least"), F.count("*").alias("m"), F.any_value("size").alias("size"), F.any_value("values").alias("values"), F.min("hash").alias("hash"))
     classes, _ = scratch.cut(classes.withColumn("rep", F.monotonically_increasing_id()))
     cells, _ = scratch.cut(buckets(scratch, classes))
-    wanted = classes.select("rep", "m", F.col("least").alias("doc_id"), "hash", "high", "low").join(in_buckets(cells), "rep")
+    wanted = classes.select("rep", "m", F.col("least").alias("doc_id"), "hash", "high", "low").join(in_buckets(scratch, cells), "rep")
     wanted, _ = scratch.cut(wanted)  # a class is in RUNS * BRANCHES^DEPTH buckets at most
     named, nameless = wanted.where("doc_id is not null").drop("hash"), wanted.where("doc_id is null").drop("doc_id")
     held = rows.join(small(named, 200_000), "doc_id").select("rep", "m", "high", "low", "buckets", "text")

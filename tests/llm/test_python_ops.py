@@ -393,7 +393,7 @@ def test_large_buckets_split_into_cells(spark, monkeypatch):
 
     rows = [(k, k % 3) for k in range(25)]
     x = spark.createDataFrame(rows, "rep long, key long")
-    dealt = cells.into_cells(x.select("rep").join(cells.in_buckets(x.select("key", "rep"), 4), "rep")).collect()
+    dealt = cells.into_cells(x.select("rep").join(cells.in_buckets(cells.Scratch(spark), x.select("key", "rep"), 4), "rep")).collect()
     met = Counter()
     by = {}
     for r in dealt:
