@@ -49,7 +49,8 @@ def decode(x: np.ndarray, made, width: int, taken: int = TAKEN) -> np.ndarray:
     scores, order = [], []
     for part, side in zip((y[:, :half], y[:, half:]), sides, strict=True):
         s = part @ side.T
-        o = np.argsort(-s, axis=1, kind="stable")[:, :taken]
+        o = np.sort(np.argpartition(-s, taken - 1, axis=1)[:, :taken], axis=1)
+        o = np.take_along_axis(o, np.argsort(-np.take_along_axis(s, o, 1), axis=1, kind="stable"), 1)
         scores.append(np.take_along_axis(s, o, 1))
         order.append(o)
     a, b = np.array([(i, j) for i in range(taken) for j in range(taken) if (i + 1) * (j + 1) <= taken]).T
