@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column
@@ -76,8 +77,26 @@ def ordinal(n: Column) -> Column:
     return F.concat(n.cast("string"), F.when(teen, "th").when(last == 1, "st").when(last == 2, "nd").when(last == 3, "rd").otherwise("th"))
 
 
+def fixed(v: Column) -> Column:
+    """A double with three decimals as C prints it: by its exact binary value, exact halves to the even digit, the sign of
+    -0.0 and of negatives that round to zero kept; nan, inf and -inf in words (a NaN's sign can't be seen here); NULL for
+    NULL. From 2^63 on the digits are those of the shortest text, filled up with zeros."""
+    size = F.abs(v)
+    a = F.when(size < 2.0**63, size)
+    whole = F.floor(a)
+    part = (a - whole.cast("double")) * 2.0**26  # its first 26 bits and the rest times 1000 are both exact
+    high = F.floor(part)
+    n, left = F.shiftright(high * 1000, 26), (high * 1000).bitwiseAND(F.lit((1 << 26) - 1))
+    rest, half = (part - high.cast("double")) * 1000.0, (F.lit(1 << 25) - left).cast("double")
+    n = n + F.when((rest > half) | ((rest == half) & (n % 2 == 1)), 1).otherwise(0)
+    text = F.concat((whole + F.floor(n / 1000)).cast("string"), F.lit("."), F.lpad((n % 1000).cast("string"), 3, "0"))
+    text = F.when(size == math.inf, "inf").when(F.isnan(v), "nan").otherwise(F.coalesce(text, F.format_string("%.3f", size)))
+    return F.when(v.isNotNull(), F.concat(F.when((v < 0) | ((v == 0) & (v.cast("string") == "-0.0")), "-").otherwise(""), text))
+
+
 def equation(a: Column, b: Column, c: Column) -> Column:
-    return F.format_string("%.3f * x + %.3f * y + %.3f = 0", a, b, c)
+    """NULL if a number is missing."""
+    return F.concat(fixed(a), F.lit(" * x + "), fixed(b), F.lit(" * y + "), fixed(c), F.lit(" = 0"))
 
 
 def natural_order(name: Column, all_numeric: Column) -> list[Column]:

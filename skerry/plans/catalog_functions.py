@@ -246,7 +246,7 @@ def path_texts(spark, sf_dir):
 @query("SELECT event_id, printf('%.3f * x + %.3f * y + %.3f = 0', value, value / 3, -value) AS line, [regexp_replace(list_extract(string_split(event_type, '/'), -1), '\\.[^.]*$', '')][1] AS base FROM events")
 def line_texts(spark, sf_dir):
     v = F.col("value")
-    return t(spark, sf_dir, "events").select("event_id", strings.equation(v, v / 3.0, 0.0 - v).alias("line"), F.get(strings.base_names(F.array("event_type")), F.lit(0)).alias("base"))
+    return t(spark, sf_dir, "events").select("event_id", strings.equation(v, v / 3.0, -v).alias("line"), F.get(strings.base_names(F.array("event_type")), F.lit(0)).alias("base"))
 
 
 # --- selections, fields, sets --------------------------------------------------------------------------------------

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from skerry.functions import distributions
+from skerry.functions import distributions, strings
 from skerry.operators import fields, graph, sets, windows
 from skerry.plans.iterate import numbered
 
@@ -60,3 +60,13 @@ def test_ply_refuses_ids_that_do_not_fit(spark, tmp_path):
     df = spark.createDataFrame([(1 << 31, 0.0)], "pid long, x double")
     with pytest.raises(Exception, match="32 bits"):
         df.write.format("ply").mode("append").save(str(tmp_path / "a.ply"))
+
+
+def test_numbers_are_printed_as_c_prints_them(spark):
+    values = [0.0, -0.0, -0.0001, 0.0005, 0.0015, 0.0625, 0.1875, -0.0625, 2.0005, 0.9996, 999.9995, 0.9995, 123456789.0625, 4503599627370495.5, 1e15, 1e16, 123456789012345678.0, 4.35e-320, 560.21 / 3, math.inf, -math.inf, math.nan]
+    values += [k / 16 for k in range(-40, 40)] + [k / 2000 for k in range(-1000, 1000)]
+    x = spark.createDataFrame(list(enumerate(values)) + [(-1, None)], "k long, v double").select("k", strings.fixed(F.col("v")).alias("t"), strings.equation(F.col("v"), F.lit(1.0), -F.col("v")).alias("e"))
+    got = {r["k"]: (r["t"], r["e"]) for r in x.collect()}
+    assert got.pop(-1) == (None, None)
+    assert {k: t for k, (t, _) in got.items()} == {k: f"{v:.3f}" for k, v in enumerate(values)}
+    assert got[0][1] == "0.000 * x + 1.000 * y + -0.000 = 0"
