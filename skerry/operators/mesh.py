@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from skerry.functions import geometry as G
 from skerry.functions import vectors as V
 
-from .spatial import cell
+from skerry.plans.iterate import Scratch
+
+from .spatial import cell, size_for
 
 
 def corners(faces: DataFrame) -> DataFrame:
@@ -168,17 +170,51 @@ def surface_samples(vertices: DataFrame, faces: DataFrame, per_area: float, seed
     return x.select("fid", "k", *[at(c).alias(c) for c in "xyz"])
 
 
-def mesh_distance(points: DataFrame, vertices: DataFrame, faces: DataFrame, size: float, most: float) -> DataFrame:
-    """pid, fid, distance: nearest face within `most`, by the cells that a face's box grown by `most` touches."""
-    t = with_points(vertices, faces)
-    low = lambda c: F.floor((F.least(*[F.col(f"{p}.{c}") for p in "abc"]) - most) / size)
-    high = lambda c: F.floor((F.greatest(*[F.col(f"{p}.{c}") for p in "abc"]) + most) / size)
+def _near_faces(points: DataFrame, boxes: DataFrame, size: float, within: float) -> DataFrame:
+    """Points and the faces whose box (low_x to high_z) grown by `within` holds them. A face is put into the at most 8 cells
+    that its grown box touches of the least level (`size` times a power of two) whose cells are as large as that box, and a
+    point into its cell of each level that faces have."""
+    wide = F.greatest(*[F.col(f"high_{c}") - F.col(f"low_{c}") for c in "xyz"]) + 2.0 * within
+    t = boxes.withColumn("level", F.greatest(F.ceil(F.log2(wide / size)), F.lit(-40)).cast("int"))
+    levels = sorted(r["level"] for r in t.where("level is not null").select("level").distinct().collect())  # a few dozen at most
+    step = F.lit(size) * F.pow(F.lit(2.0), F.col("level"))
+    for c in "xyz":
+        t = t.withColumn(f"c{c}", F.explode(F.sequence(F.floor((F.col(f"low_{c}") - within) / step), F.floor((F.col(f"high_{c}") + within) / step))))
+    p = points.withColumn("level", F.explode(F.array(*[F.lit(k) for k in levels]).cast("array<int>")))
+    p = p.select("*", *[F.floor(F.col(c) / step).alias(f"c{c}") for c in "xyz"])
+    x = p.join(t, ["level", "cx", "cy", "cz"])
     for c in "xyz":
-        t = t.withColumn(f"c{c}", F.explode(F.sequence(low(c), high(c))))
-    x = points.select("pid", V.vec("x", "y", "z").alias("p"), *[F.floor(F.col(c) / size).alias(f"c{c}") for c in "xyz"]).join(t, ["cx", "cy", "cz"])
-    d2 = G.point_triangle_distance2(F.col("p"), F.col("a"), F.col("b"), F.col("c"))
-    x = x.groupBy("pid").agg(F.min(F.struct(d2.alias("d2"), "fid")).alias("m"))
-    return x.select("pid", "m.fid", F.sqrt("m.d2").alias("distance")).where(F.col("distance") <= most)
+        x = x.where((F.col(c) >= F.col(f"low_{c}") - within) & (F.col(c) <= F.col(f"high_{c}") + within))
+    return x
+
+
+def mesh_distance(points: DataFrame, vertices: DataFrame, faces: DataFrame, size: float, most: float) -> DataFrame:
+    """pid, fid, distance: nearest face within `most`, ties to the smaller fid; `size` is a cell's at level 0.
+
+    Round by round: a point is done when its nearest face is no farther than the round's reach, which all faces whose grown
+    boxes hold it guarantee; the others go on with four times the reach, until that is `most`."""
+    scratch = Scratch(points.sparkSession)
+    ends = [F.col(f"{p}.{c}") for p in "abc" for c in "xyz"]
+    boxes = with_points(vertices, faces).select("*", *[f(*ends[k::3]).alias(f"{n}_{c}") for k, c in enumerate("xyz") for f, n in ((F.least, "low"), (F.greatest, "high"))])
+    boxes, _ = scratch.cut(boxes.where("a is not null and b is not null and c is not null"))
+    going, _ = scratch.cut(points.select("pid", "x", "y", "z"))
+    first = size_for(points, 1.0) / 4.0
+    reach, done = most, None
+    while reach / 4.0 > first:
+        reach /= 4.0
+    while True:
+        x = _near_faces(going, boxes, size, min(reach, most) * (1.0 + 1e-9))
+        d2 = G.point_triangle_distance2(V.vec("x", "y", "z"), F.col("a"), F.col("b"), F.col("c"))
+        x = x.groupBy("pid").agg(F.min(F.struct(d2.alias("d2"), "fid")).alias("m"))
+        x = x.select("pid", "m.fid", F.sqrt("m.d2").alias("distance")).where(F.col("distance") <= min(reach, most))
+        x, _ = scratch.cut(x)
+        done = x if done is None else done.unionByName(x)
+        if reach >= most:
+            return done
+        going, _ = scratch.cut(going.join(x.select("pid"), "pid", "left_anti"))
+        if not going.limit(1).count():
+            return done
+        reach *= 4.0
 
 
 def visible_faces(faces: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from skerry.functions import distributions, strings
 from skerry.functions import geometry as G
-from skerry.operators import fields, graph, sets, windows
+from skerry.operators import fields, graph, mesh, sets, windows
 from skerry.plans.iterate import numbered
 
 
@@ -114,3 +114,20 @@ def test_segment_clusters_by_brute_force(spark, angle, distance, least):
 def test_few_segments_are_candidates_of_each_other(spark):
     x = spark.range(1000).select(F.col("id").alias("pid"), *[F.rand(k).alias(c) for k, c in enumerate(("x1", "y1", "x2", "y2"))])
     assert graph._segment_candidates(x, 3.0, 0.02)[0].count() < 0.03 * 1000 * 1000
+
+
+def test_mesh_distance_takes_few_faces_a_point_and_the_nearest(spark):
+    rng = random.Random(3)
+    at = [[rng.gauss(0, 0.1) for _ in range(3)] for _ in range(400)]
+    v = spark.createDataFrame([(i, *p) for i, p in enumerate(at)], "vid long, x double, y double, z double")
+    near = lambda i: sorted(sorted(range(400), key=lambda j: (math.dist(at[i], at[j]), j))[1:3])
+    f = spark.createDataFrame([(i, [i, *near(i)]) for i in range(0, 400, 2)] + [(999, [0, 1, 2]), (1000, [0, 1, 7777])], "fid long, v array<long>")
+    p = spark.createDataFrame([(i, *[c + rng.choice([0.0, 0.02, 0.4]) for c in q]) for i, q in enumerate(at)] + [(500, None, 0.0, 0.0)], "pid long, x double, y double, z double")
+    t = mesh.with_points(v, f).where("a is not null and b is not null and c is not null")
+    d2 = G.point_triangle_distance2(F.struct("x", "y", "z"), F.col("a"), F.col("b"), F.col("c"))
+    want = p.crossJoin(t).groupBy("pid").agg(F.min(F.struct(d2.alias("d2"), "fid")).alias("m")).select("pid", "m.fid", F.sqrt("m.d2").alias("distance")).where("distance <= 0.05")
+    want = {r["pid"]: (r["fid"], r["distance"]) for r in want.collect()}
+    got = mesh.mesh_distance(p, v, f, 0.1, 0.05).collect()
+    assert len(got) == len(want) and {r["pid"]: (r["fid"], r["distance"]) for r in got} == want
+    boxes = t.select("*", *[g(*[F.col(f"{e}.{c}") for e in "abc"]).alias(f"{n}_{c}") for c in "xyz" for g, n in ((F.least, "low"), (F.greatest, "high"))])
+    assert mesh._near_faces(p, boxes, 0.1, 0.005).count() < 0.2 * p.count() * t.count()
